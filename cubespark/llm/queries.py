@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from cubespark.llm.language import op6_language_id
 from cubespark.llm.packing import op4_packing
+from cubespark.llm.pii import op10_personal_data
+from cubespark.llm.quality import op3_quality_classifier
 from cubespark.llm.rules import OP5_SQL, op5_quality_rules
 from cubespark.llm.secrets import op1_secret_scan
 from cubespark.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op9_warc": op9_warc,
+    "op10_personal_data": op10_personal_data,
 }
 SQL = {
     "op5_quality_rules": OP5_SQL,
