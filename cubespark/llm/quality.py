@@ -13,16 +13,16 @@ from cubespark.llm.common import arrow_map, table, text_bytes
 from cubespark.llm.rules import SPACES, features
 
 DIM = 4096
-#: name: (bad over or under, good over or under); a value between abstains.
+#: 0 says bad, 1 good, -1 abstains. Most know one kind of bad text and abstain on all others.
 LABELLERS = {
-    "symbols": lambda m: 0 if m["symbols"] > 0.3 else 1 if m["symbols"] < 0.05 else -1,
-    "capitals": lambda m: 0 if m["capitals"] > 0.5 else 1 if m["capitals"] < 0.15 else -1,
-    "shouting": lambda m: 0 if m["shouts"] > 0.3 else 1 if m["shouts"] < 0.03 else -1,
-    "repeats": lambda m: (0 if m["repeats"] > 0.6 else 1 if m["repeats"] < 0.2 else -1) if m["n_words"] >= 20 else -1,
-    "variety": lambda m: (0 if m["variety"] < 0.2 else 1 if m["variety"] > 0.4 else -1) if m["n_words"] >= 20 else -1,
-    "lines": lambda m: (0 if m["same_lines"] > 0.5 else 1 if m["same_lines"] < 0.1 else -1) if m["n_words"] >= 20 else -1,
-    "word_length": lambda m: (0 if not 2 <= m["word_length"] <= 12 else 1 if 3 <= m["word_length"] <= 9 else -1) if m["n_words"] >= 20 else -1,
-    "digits": lambda m: 0 if m["digits"] > 0.4 else 1 if m["digits"] < 0.1 else -1,
+    "symbols": lambda m: 0 if m["symbols"] > 0.3 else -1,
+    "capitals": lambda m: 0 if m["capitals"] > 0.5 else -1,
+    "shouting": lambda m: 0 if m["shouts"] > 0.3 else -1,
+    "repeats": lambda m: 0 if m["repeats"] > 0.6 and m["n_words"] >= 20 else -1,
+    "lines": lambda m: 0 if m["same_lines"] > 0.5 and m["n_words"] >= 20 else -1,
+    "digits": lambda m: 0 if m["digits"] > 0.5 else -1,
+    "variety": lambda m: (0 if m["variety"] < 0.2 and m["n_words"] >= 20 else 1 if m["variety"] > 0.6 else -1),
+    "word_length": lambda m: (0 if not 2 <= m["word_length"] <= 12 and m["n_words"] >= 20 else 1 if 3 <= m["word_length"] <= 7 else -1),
 }
 #: Byte classes: letters are a or A (bytes over 127 count as a), digits 0, white space one blank; other characters stay.
 CLASSES = bytes(32 if c in SPACES else 97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in range(256))
@@ -72,26 +72,25 @@ def vector(text: bytes, m: dict[str, float]) -> np.ndarray:
     return x
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, max_false: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over vote patterns: each pattern's posterior of good, and P(vote | class) of each labeller.
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, max_false: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns: each pattern's posterior of good, and P(vote | class) of each labeller
+    (classes bad and good; votes abstain, bad and good).
 
-    Votes are independent given the class; abstaining says nothing. Labellers are built to be precise, so at most
-    max_false of a labeller's votes on good texts say bad: without that bound a labeller that alone knows a common kind of
-    bad text is outvoted. It starts from their intent: a text is bad where one of them says so.
+    Votes are independent given the class. It starts from the labellers' intent, that a text is bad where one of them says
+    so. They are built to be precise, so at most max_false of a labeller's votes on good texts say bad; without that
+    bound a labeller that alone knows a common kind of bad text can be outvoted by the others' silence.
     """
     v = vote_table(codes)
-    good = np.where((v == 0).any(axis=1), 0.1, np.where((v == 1).any(axis=1), 0.95, 0.5))
-    given = np.full((v.shape[1], 2), 0.5)
+    good = np.where((v == 0).any(axis=1), 0.01, 0.95)
+    given = np.zeros((v.shape[1], 2, 3))
     for _ in range(rounds):
-        for j in range(v.shape[1]):
-            for y, weight in enumerate((counts * (1 - good), counts * good)):
-                cast = v[:, j] >= 0
-                given[j, y] = (weight[v[:, j] == 1].sum() + (2.0 if y else 1.0)) / (weight[cast].sum() + 3.0)
-        given[:, 1] = np.maximum(given[:, 1], 1 - max_false)
+        for y, weight in enumerate((counts * (1 - good), counts * good)):
+            for k in range(3):
+                given[:, y, k] = (weight @ (v == k - 1)) + 0.5
+        given /= given.sum(axis=2, keepdims=True)
+        given[:, 1, 1] = np.minimum(given[:, 1, 1], max_false)
         prior = (counts @ good + 1) / (counts.sum() + 2)
-        log = np.tile(np.log([1 - prior, prior]), (len(v), 1))
-        for j in range(v.shape[1]):
-            log += np.where((v[:, j] == 1)[:, None], np.log(given[j]), np.where((v[:, j] == 0)[:, None], np.log(1 - given[j]), 0.0))
+        log = np.log([1 - prior, prior]) + sum(np.log(given[j][:, v[:, j] + 1]).T for j in range(v.shape[1]))
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         if np.abs(new - good).max() < 1e-9:
             break
