@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import arrow_map, saved, table, text_bytes
+from cubespark.llm.common import arrow_map, saved, table
 
 #: Texts of code points below this take the memoised path, others the tokenizer's own.
 LATIN = 0x250
@@ -22,6 +22,10 @@ def _class(test) -> str:
     return "".join(f"\\u{c:04x}" for c in range(LATIN) if test(c))
 
 
+#: Ids of strings and of pre-tokens by tokenizer path, kept from task to task in a Python worker.
+_MEMOS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+
 class WordTokenizer:
     """Ids of a word-level byte-pair tokenizer, each distinct pre-token encoded once.
 
@@ -29,7 +33,7 @@ class WordTokenizer:
     scripts or with the strings of special tokens are encoded whole.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 300_000):
         self.path, self.memo = path, memo
         self._tok = None
 
@@ -39,34 +43,64 @@ class WordTokenizer:
         self._tok = Tokenizer.from_file(self.path)
         letter, number, space = _class(lambda c: unicodedata.category(chr(c))[0] == "L"), _class(lambda c: unicodedata.category(chr(c))[0] == "N"), r"\t-\r \x85\xa0"
         self._find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+").findall
+        self._odd = re.compile("[\\x1c-\\x1f]").search  # white space to str.split() alone
         self._plain = re.compile(f"[\\x00-\\u{LATIN - 1:04x}]*").fullmatch
-        self._ids: dict[str, bytes] = {}
+        self._ids, self._words = _MEMOS.setdefault(self.path, ({}, {}))
+        vocabulary = self._tok.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def __getstate__(self):
         return {"path": self.path, "memo": self.memo, "_tok": None}
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pre-tokens. Those of letters are encoded many at once: every word's last token carries the end mark."""
+        words = [w for w in new if w.isalpha()]
+        groups = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, e in zip(groups, self._tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self._words.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        rest = [w for w in new if w not in self._words]
+        for w, e in zip(rest, self._tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self._words[w] = np.array(e.ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Pre-tokens never cross white space, so texts are split there; strings not seen lately are cut into pre-tokens, and
+        pre-tokens not seen lately are encoded.
+        """
         if self._tok is None:
             self._load()
         found, whole = [], {}
         for i, text in enumerate(texts):
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text)
-            if "<|" in text or not (text.isascii() or self._plain(text)):
+            if "<|" in text or not (text.isascii() or self._plain(text)) or self._odd(text):
                 whole[i] = np.array(self._tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
                 found.append(())
             else:
-                found.append(self._find(text.lower()))
-        new = list({w for words in found for w in words if w not in self._ids})
-        if len(self._ids) + len(new) > self.memo:
-            self._ids = {}
-            new = list({w for words in found for w in words})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = self._ids.__getitem__
+                found.append(text.lower().split())
+        known = self._ids
+        every = set().union(*found)
+        new = every.difference(known)
+        if len(known) + len(new) > self.memo:
+            known.clear()
+            new = every
+        if new:
+            parts = {w: self._find(w) for w in new}
+            pieces = set().union(*parts.values())
+            unknown = pieces.difference(self._words)
+            if len(self._words) + len(unknown) > self.memo:
+                self._words.clear()
+                unknown = pieces
+            self._learn(list(unknown))
+            get = self._words.__getitem__
+            known.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in parts.items())
+        get = known.__getitem__
         return [whole[i] if i in whole else b"".join(map(get, words)) for i, words in enumerate(found)]
 
 
@@ -121,9 +155,9 @@ def cut_pieces(docs: DataFrame, tokenizer: WordTokenizer, capacity: int, end_id:
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in ("at", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        texts = [(t or b"").decode("utf-8", "replace") for t in text_bytes(batch.column(1))]
-        for at in range(0, len(texts), 256):
-            for i, ids in enumerate(tokenizer(texts[at : at + 256]), at):
+        for at in range(0, batch.num_rows, 512):
+            texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
+            for i, ids in enumerate(tokenizer(texts), at):
                 ids += end
                 for s in range(0, len(ids), 4 * capacity):
                     piece = ids[s : s + 4 * capacity]
