@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cubespark.llm.decontaminate import op8_decontamination
 from cubespark.llm.language import op6_language_id
+from cubespark.llm.near import op7_ngram_jaccard
 from cubespark.llm.packing import op4_packing
 from cubespark.llm.pii import op10_personal_data
 from cubespark.llm.quality import op3_quality_classifier
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_personal_data": op10_personal_data,
