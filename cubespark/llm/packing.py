@@ -9,31 +9,30 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm.common import arrow_map, saved, table
 
-#: Texts of code points below this take the memoised path, others the tokenizer's own.
+#: Texts of code points below this take the vectorised path, others the tokenizer's own.
 LATIN = 0x250
-
-
-def _class(test) -> str:
-    return "".join(f"\\u{c:04x}" for c in range(LATIN) if test(c))
-
-
-#: Ids of strings and of pre-tokens by tokenizer path, kept from task to task in a Python worker.
-_MEMOS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+#: Longer pre-tokens are encoded by themselves.
+LONG = 64
+LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
+#: What may follow an apostrophe in a pre-token of its own.
+CLITICS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
 class WordTokenizer:
-    """Ids of a word-level byte-pair tokenizer, each distinct pre-token encoded once.
+    """Ids of a word-level byte-pair tokenizer, each distinct pre-token encoded once a block.
 
-    The tokenizer merges inside pre-tokens only, so a text's ids are its pre-tokens' ids in turn. Texts with other
-    scripts or with the strings of special tokens are encoded whole.
+    The tokenizer merges inside pre-tokens only, so a text's ids are its pre-tokens' ids in turn. Pre-tokens are found and
+    hashed for a block of texts at once; ids of those seen lately are kept in flat arrays. Texts with other scripts or
+    with the strings of special tokens are encoded whole.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         self.path, self.memo = path, memo
         self._tok = None
 
@@ -41,67 +40,117 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(self.path)
-        letter, number, space = _class(lambda c: unicodedata.category(chr(c))[0] == "L"), _class(lambda c: unicodedata.category(chr(c))[0] == "N"), r"\t-\r \x85\xa0"
-        self._find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+").findall
-        self._odd = re.compile("[\\x1c-\\x1f]").search  # white space to str.split() alone
+        kind = {"L": LETTER, "N": NUMBER}
+        self._class = np.array([SPACE if 9 <= c <= 13 or c in (0x20, 0x85, 0xA0) else kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LATIN)], np.uint8)
+        # lower-casing can give a combining dot above, which is no letter
+        self._class = np.append(self._class, np.full(0x400 - LATIN, OTHER, np.uint8))
         self._plain = re.compile(f"[\\x00-\\u{LATIN - 1:04x}]*").fullmatch
-        self._ids, self._words = _MEMOS.setdefault(self.path, ({}, {}))
+        self._code = np.random.default_rng(7).integers(0, 1 << 63, (LONG, 0x400), np.int64).astype(np.uint64)
         vocabulary = self._tok.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    def _keep(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Known pre-tokens, by hash: how many ids each has, where they begin, and the ids."""
+        self._hash, self._size, self._from, self._ids = hashes, sizes, np.cumsum(sizes) - sizes, ids
 
     def __getstate__(self):
         return {"path": self.path, "memo": self.memo, "_tok": None}
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pre-tokens. Those of letters are encoded many at once: every word's last token carries the end mark."""
-        words = [w for w in new if w.isalpha()]
+    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-tokens in the order taken (by number), how many ids each has, and the ids.
+
+        Those of letters are encoded many at once: each word's last token has the end mark.
+        """
+        words = [i for i, w in enumerate(new) if w.isalpha()]
+        rest = [i for i, w in enumerate(new) if not w.isalpha()]
         groups = [words[at : at + 1000] for at in range(0, len(words), 1000)]
-        for part, e in zip(groups, self._tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+        taken, sizes, ids = [], [], []
+        for part, e in zip(groups, self._tok.encode_batch_fast([" ".join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self._ends[got]) + 1
             if len(ends) == len(part):
-                raw = ids.tobytes()
-                self._words.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        rest = [w for w in new if w not in self._words]
-        for w, e in zip(rest, self._tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self._words[w] = np.array(e.ids, "<u4").tobytes()
+                taken += part
+                sizes.append(np.diff(ends, prepend=0))
+                ids.append(got)
+            else:
+                rest += part
+        singles = [e.ids for e in self._tok.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, singles), np.int64, len(singles)))
+        ids.append(np.array([x for one in singles for x in one], "<u4"))
+        return np.array(taken + rest, np.int64), np.concatenate(sizes), np.concatenate(ids)
+
+    def _starts(self, c: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end places of the pre-tokens in code points between white space."""
+        first = (kind != SPACE) & (np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == NUMBER))
+        quote = np.flatnonzero((c == 39) & first)
+        if len(quote):
+            padded = np.concatenate((c[: int(quote[-1]) + 3], [0, 0, 0]))
+            size = np.zeros(len(quote), np.int64)
+            for x in CLITICS:
+                size = np.maximum(size, np.where(np.all([padded[quote + 1 + i] == ord(y) for i, y in enumerate(x)], axis=0), len(x), 0))
+            quote, size = quote[size > 0], size[size > 0]
+            first[quote + 1] = False
+            after = quote + 1 + size
+            after = after[after < len(c)]
+            first[after] |= kind[after] != SPACE
+        start = np.flatnonzero(first)
+        # a pre-token ends where the next begins, or white space does
+        gap = np.append(np.flatnonzero(kind == SPACE), len(c))
+        return start, np.minimum(np.append(start[1:], len(c)), gap[np.searchsorted(gap, start)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text.
-
-        Pre-tokens never cross white space, so texts are split there; strings not seen lately are cut into pre-tokens, and
-        pre-tokens not seen lately are encoded.
-        """
+        """Little-endian unsigned 32-bit ids of each text."""
         if self._tok is None:
             self._load()
-        found, whole = [], {}
+        lowered, whole = [], {}
         for i, text in enumerate(texts):
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text)
-            if "<|" in text or not (text.isascii() or self._plain(text)) or self._odd(text):
+            if "<|" in text or not (text.isascii() or self._plain(text)):
                 whole[i] = np.array(self._tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-                found.append(())
+                lowered.append("")
             else:
-                found.append(text.lower().split())
-        known = self._ids
-        every = set().union(*found)
-        new = every.difference(known)
-        if len(known) + len(new) > self.memo:
-            known.clear()
-            new = every
-        if new:
-            parts = {w: self._find(w) for w in new}
-            pieces = set().union(*parts.values())
-            unknown = pieces.difference(self._words)
-            if len(self._words) + len(unknown) > self.memo:
-                self._words.clear()
-                unknown = pieces
-            self._learn(list(unknown))
-            get = self._words.__getitem__
-            known.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in parts.items())
-        get = known.__getitem__
-        return [whole[i] if i in whole else b"".join(map(get, words)) for i, words in enumerate(found)]
+                lowered.append(text.lower())
+        joined = "\n".join(lowered) + "\n"
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        start, end = self._starts(c, self._class[c])
+        size = end - start
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        source = place + np.repeat(start, size)
+        hashes = np.add.reduceat(self._code[place & (LONG - 1), c[source]], np.cumsum(size) - size) if len(start) else np.zeros(0, np.uint64)
+        far = np.flatnonzero(size > LONG)
+        for k in far.tolist():
+            hashes[k] = xxhash.xxh3_64_intdigest(joined[start[k] : end[k]].encode("utf-32-le", "surrogatepass"))
+        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        spot = np.minimum(np.searchsorted(self._hash, unique), max(len(self._hash) - 1, 0))
+        known = self._hash[spot] == unique if len(self._hash) else np.zeros(len(unique), bool)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            taken, sizes, ids = self._encode([joined[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+            if len(self._hash) + len(new) > self.memo:  # start anew with what this block uses
+                old = spot[known]
+                keep = np.repeat(self._from[old] - (np.cumsum(self._size[old]) - self._size[old]), self._size[old]) + np.arange(int(self._size[old].sum()))
+                self._keep(self._hash[old], self._size[old], self._ids[keep])
+            merged = np.concatenate((self._hash, unique[new[taken]]))
+            order = np.argsort(merged)
+            all_sizes, all_ids = np.concatenate((self._size, sizes)), np.concatenate((self._ids, ids))
+            begins = np.concatenate((self._from, len(self._ids) + np.cumsum(sizes) - sizes))
+            s = all_sizes[order]
+            self._keep(merged[order], s, all_ids[np.repeat(begins[order] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))])
+            spot = np.searchsorted(self._hash, unique)
+        token = spot[inverse]
+        n = self._size[token]
+        stop = np.cumsum(n)
+        ids = self._ids[np.repeat(self._from[token] - (stop - n), n) + np.arange(int(n.sum()))].tobytes()
+        begins = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+        cuts = np.concatenate(([0], stop))[np.searchsorted(start, begins)] * 4
+        return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
+
+
+#: Tokenizers by path, kept from task to task in a Python worker.
+_LOADED: dict[str, WordTokenizer] = {}
 
 
 def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -155,9 +204,10 @@ def cut_pieces(docs: DataFrame, tokenizer: WordTokenizer, capacity: int, end_id:
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in ("at", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+        encode = _LOADED.setdefault(tokenizer.path, tokenizer)
         for at in range(0, batch.num_rows, 512):
             texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
-            for i, ids in enumerate(tokenizer(texts), at):
+            for i, ids in enumerate(encode(texts), at):
                 ids += end
                 for s in range(0, len(ids), 4 * capacity):
                     piece = ids[s : s + 4 * capacity]
