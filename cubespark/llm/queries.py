@@ -7,6 +7,7 @@ from cubespark.llm.language import op6_language_id
 from cubespark.llm.near import op7_ngram_jaccard
 from cubespark.llm.packing import op4_packing
 from cubespark.llm.pii import op10_personal_data
+from cubespark.llm.pitman_yor import op2_pitman_yor
 from cubespark.llm.quality import op3_quality_classifier
 from cubespark.llm.rules import OP5_SQL, op5_quality_rules
 from cubespark.llm.secrets import op1_secret_scan
@@ -14,6 +15,7 @@ from cubespark.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
