@@ -291,5 +291,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 75, width: int = 5) -> DataFrame:
+    """The rows of docs with one document of each near-duplicate group, that of the smallest id; columns stay.
+
+    Rows that repeat an id give one row. Rows without shingles or without an id all stay. Only rows that a bitmap of
+    bounded size can't clear are shuffled, so most texts are not moved.
+    """
+    found = near_duplicates(docs, id_col, text_col, top, width).where(F.col(id_col).isNotNull())
+    fate = found.groupBy(F.col(id_col).cast("bigint").alias("_id")).agg(F.count("*").alias("_rows"), F.max(F.col("component_id") != F.col(id_col)).alias("_drop")).where("_rows > 1 or _drop")
+    fate = saved(fate.select("_id", "_drop"), "fate")
+    bits = _id_filter(fate.select("_id"))
+    if bits is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    names, at = docs.columns, docs.columns.index(id_col)
+
+    def mark(batch: pa.RecordBatch) -> dict:
+        ids = batch.column(at).cast(pa.int64())
+        spot = mix64(np.asarray(ids.fill_null(-1)).view(U)) & U(8 * len(shared.value) - 1)
+        hit = np.frombuffer(shared.value, np.uint8)[(spot >> U(3)).astype(np.int64)] >> (spot & U(7)).astype(np.uint8) & 1
+        return {n: batch.column(i) for i, n in enumerate(names)} | {"_maybe": (hit > 0) & ~np.asarray(ids.is_null())}
+
+    marked = arrow_map(docs, mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_maybe boolean"]))
+    doubtful = marked.where("_maybe").join(fate, F.col(id_col) == F.col("_id"), "left").where("not coalesce(_drop, false)").dropDuplicates([id_col])
+    return marked.where("not _maybe").select(*names).unionByName(doubtful.select(*names))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
