@@ -18,8 +18,6 @@ from cubespark.llm.common import arrow_map, mix64, pack, runs, saved, table, tex
 from cubespark.llm.components import components
 
 U = np.uint64
-#: Bits of the short sketch that filters candidate pairs.
-SHORT = 1024
 #: Odd multipliers of the words in a shingle.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
 SALTS = 16
@@ -51,7 +49,20 @@ def shingle_sets(texts: list[bytes | None], width: int = 5) -> list[np.ndarray]:
 
 
 def short_sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s & U(SHORT - 1)).astype(np.int64), minlength=SHORT).astype(np.uint8) & 1).tobytes()
+    """The sketch folded to a power of two of at least twice as many bits as the set has members (64 at least)."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of bytes folded to fewer: its parts XORed, which keeps the bound on distances."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    return (int.from_bytes(folded(a, size).tobytes()) ^ int.from_bytes(folded(b, size).tobytes())).bit_count()
 
 
 def keys(s: np.ndarray, top: int = 75) -> np.ndarray:
@@ -211,13 +222,14 @@ def _id_filter(ids: DataFrame, max_bits: int = 27) -> bytes | None:
 
 
 def _near_by_sketch(pairs: DataFrame, top: int) -> DataFrame:
-    """Adds distance; drops pairs whose sketches differ in more bits than linked sets can."""
-    distance = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(SHORT // 64)), F.lit(0))
-    return pairs.withColumn("distance", distance).where(F.col("distance") * (100 + top) <= (100 - top) * (F.col("na") + F.col("nb")))
+    """(a, b, distance) of the pairs whose sketches differ in no more bits than linked sets can."""
 
+    def run(batch: pa.RecordBatch) -> dict:
+        far = np.array([sketch_distance(x, y) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)], np.int64)
+        ok = pa.array(far * (100 + top) <= (100 - top) * (np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))))
+        return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok), "distance": pa.array(far).filter(ok)}
 
-def _words(sketch: str):
-    return F.array(*[F.conv(F.hex(F.substring(sketch, 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(SHORT // 64)])
+    return arrow_map(pairs.select("a", "b", "na", "nb", "xa", "xb"), run, "a bigint, b bigint, distance bigint")
 
 
 def cross_pairs(groups: DataFrame, buckets: int, top: int) -> DataFrame:
@@ -227,16 +239,19 @@ def cross_pairs(groups: DataFrame, buckets: int, top: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         key, doc, root, n = (np.asarray(t.column(c)) for c in ("key", "rep", "root", "n"))
-        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U).reshape(len(key), -1)
+        sketch = t.column("sketch").to_pylist()
         order = np.lexsort((n, key))
-        key, doc, root, n, bits = key[order], doc[order], root[order], n[order], bits[order]
+        key, doc, root, n = key[order], doc[order], root[order], n[order]
         start, found = runs(key), set()
         for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+            own = [np.frombuffer(sketch[i], np.uint8) for i in order[a:b].tolist()]
+            size = min(map(len, own))
+            bits = np.stack([folded(x, size) for x in own]).view(U)
             for i in range(a, b - 1):
                 to = i + 1 + int(np.searchsorted(n[i + 1 : b], n[i] * 100 // top, side="right"))
                 other = np.flatnonzero(root[i + 1 : to] != root[i]) + i + 1
                 if len(other):
-                    far = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    far = np.bitwise_count(bits[other - a] ^ bits[i - a]).sum(axis=1, dtype=np.int64)
                     for o in other[far * (100 + top) <= (100 - top) * (n[other] + n[i])].tolist():
                         found.add((min(doc[i], doc[o]), max(doc[i], doc[o])))
         pairs = sorted(found)
@@ -273,9 +288,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = groups.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", "m.a", "m.na")
     groups = saved(groups.join(lead, "key"), "groups")
     stars = groups.where("rep <> a and 100 * least(n, na) >= {0} * greatest(n, na)".format(top)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    words = reps.select("doc_id", "n", _words("sketch").alias("x"))
+    words = reps.select("doc_id", "n", F.col("sketch").alias("x"))
     stars = stars.join(words.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb")), "b")
-    stars = _near_by_sketch(stars, top).select("a", "b", "distance")
+    stars = _near_by_sketch(stars, top)
     best = stars.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("distance", "a"))).where(F.col("r") <= first)
     tried = saved(best.select("a", "b"), "stars")
     links = linked(tried, docs, id_col, text_col, top, width)
