@@ -10,16 +10,6 @@ import numpy as np
 EXACT = 96
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma for positive arguments, by Stirling's series after a shift by eight."""
-    x = np.asarray(x, float)
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
 @lru_cache(64)
 def log_stirling(discount: float) -> np.ndarray:
     """Logs of generalised Stirling numbers: seatings of n customers at k tables, weighed by table sizes."""
@@ -41,7 +31,7 @@ def reseat(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: flo
     table sizes summed out; for more, all customers are seated anew in turn and one of a few such seatings is drawn by its
     importance weight. Time depends on the tables, not on the customers.
     """
-    tables = np.minimum(count, 1)
+    tables = np.minimum(count, 1).astype(np.int64)
     exact = log_stirling(round(discount, 3))
     small = np.flatnonzero((count > 1) & (count <= EXACT))
     small = small[np.argsort(count[small], kind="stable")]
@@ -57,7 +47,7 @@ def reseat(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: flo
             tables[at] = 1 + (w < (rng.random(len(at)) * w[:, -1])[:, None]).sum(axis=1)
     large = np.flatnonzero(count > EXACT)
     if len(large):
-        tries = [_seat_all(count[large], start[large], step[large], discount, rng) for _ in range(4)]
+        tries = [_seat_all(count[large], start[large], step[large], discount, rng) for _ in range(3)]
         weight = np.stack([w for _, w in tries])
         pick = (weight + rng.gumbel(size=weight.shape)).argmax(axis=0)
         tables[large] = np.stack([t for t, _ in tries])[pick, np.arange(len(large))]
@@ -65,32 +55,29 @@ def reseat(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: flo
 
 
 def _seat_all(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Seat all customers of each dish in turn, jumping from one new table to the next; tables and log weights."""
-    tables, weight = np.ones(len(count)), np.zeros(len(count))
-    seated, live = np.ones(len(count)), np.arange(len(count))
-    while len(live):
-        m, t, n = seated[live], tables[live], count[live].astype(float)
-        new = start[live] + step[live] * t
-        base = lgamma(m - discount * t) - lgamma(m - discount * t + new)
-        target = np.log(rng.random(len(live)))
-        # the first place j >= m whose customer opens a table: chance of none up to j falls below the drawn level
-        low, high = m - 1, n.copy()
-        while True:
-            wide = high - low > 1
-            if not wide.any():
-                break
-            j = np.floor((low + high) / 2)
-            none = lgamma(j + 1 - discount * t) - lgamma(j + 1 - discount * t + new) - base
-            opened = none < target
-            high = np.where(wide & opened, j, high)
-            low = np.where(wide & ~opened, j, low)
-        last = np.minimum(high, n - 1)  # customers m .. last are seated; customer n - 1 is the last there is
-        weight[live] += lgamma(last + 1 - discount * t + new) - lgamma(m - discount * t + new)
-        more = high <= n - 1
-        tables[live] += more
-        seated[live] = last + 1
-        live = live[more & (seated[live] < n)]
-    return tables.astype(np.int64), weight
+    """Seat all customers of each dish in turn; tables and log weights of the seatings.
+
+    One customer at a time at first, then a 64th of those seated together, with the chance of a new table as it stands:
+    the steps grow with the logarithm of the customers.
+    """
+    order = np.argsort(-count, kind="stable")
+    n, a, b = count[order].astype(float), start[order], step[order]
+    tables, weight, seated = np.ones(len(n)), np.zeros(len(n)), 1.0
+    live = len(n)
+    while live:
+        live = int(np.searchsorted(-n[:live], -seated, side="left"))  # those with more customers than seated
+        if not live:
+            break
+        size = np.minimum(max(1.0, seated // 64), n[:live] - seated)
+        new = a[:live] + b[:live] * tables[:live]
+        total = new + seated - discount * tables[:live]
+        weight[:live] += size * np.log(total + (size - 1) / 2)
+        chance = np.minimum(new / total, 1.0)
+        tables[:live] += rng.random(live) < chance if seated < 128 else rng.binomial(size.astype(np.int64), chance)
+        seated += max(1.0, seated // 64)
+    back = np.empty(len(n), np.int64)
+    back[order] = np.arange(len(n))
+    return np.minimum(tables, n)[back].astype(np.int64), weight[back]
 
 
 def discount_of(count: np.ndarray) -> float:
