@@ -37,7 +37,7 @@ def reseat(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: flo
     small = small[np.argsort(count[small], kind="stable")]
     n = count[small]
     cuts = np.flatnonzero(np.diff(n, prepend=0)) if len(n) else np.zeros(0, np.int64)
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True):
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)] if len(n) else [], strict=True):
         size = int(n[a])
         for lo in range(a, b, max(1, 2_000_000 // size)):
             at = small[lo : min(b, lo + max(1, 2_000_000 // size))]
