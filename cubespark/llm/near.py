@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm.common import arrow_map, mix64, pack, runs, saved, table, text_bytes, unpack
@@ -62,7 +62,7 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 def sketch_distance(x: bytes, y: bytes) -> int:
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
     size = min(len(a), len(b))
-    return (int.from_bytes(folded(a, size).tobytes()) ^ int.from_bytes(folded(b, size).tobytes())).bit_count()
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
 def keys(s: np.ndarray, top: int = 75) -> np.ndarray:
@@ -102,7 +102,7 @@ def sketch_pass(docs: DataFrame, id_col: str, text_col: str, buckets: int, top:
         texts, at = text_bytes(batch.column(1)), 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to] or b"") <= 8 << 20):
+            while to < len(texts) and (to == at or size + len(texts[to] or b"") <= 4 << 20):
                 size += len(texts[to] or b"")
                 to += 1
             for i, s in enumerate(shingle_sets(texts[at:to], width), at):
@@ -221,58 +221,89 @@ def _id_filter(ids: DataFrame, max_bits: int = 27) -> bytes | None:
     return bytes(out[: max((1 << log) // 8, 1)])
 
 
-def _near_by_sketch(pairs: DataFrame, top: int) -> DataFrame:
-    """(a, b, distance) of the pairs whose sketches differ in no more bits than linked sets can."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        far = np.array([sketch_distance(x, y) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)], np.int64)
-        ok = pa.array(far * (100 + top) <= (100 - top) * (np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))))
-        return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok), "distance": pa.array(far).filter(ok)}
-
-    return arrow_map(pairs.select("a", "b", "na", "nb", "xa", "xb"), run, "a bigint, b bigint, distance bigint")
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def cross_pairs(groups: DataFrame, buckets: int, top: int) -> DataFrame:
-    """Pairs in one key group but in different components whose sizes and sketches allow a link. Compared in blocks; only
-    pairs that pass are put out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: bool) -> pa.Table:
+    """Pairs of a bucket's key groups that lie in two components and whose sizes and sketches allow a link.
 
-    def run(t: pa.Table) -> pa.Table:
-        key, doc, root, n = (np.asarray(t.column(c)) for c in ("key", "rep", "root", "n"))
-        sketch = t.column("sketch").to_pylist()
-        order = np.lexsort((n, key))
-        key, doc, root, n = key[order], doc[order], root[order], n[order]
-        start, found = runs(key), set()
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
-            own = [np.frombuffer(sketch[i], np.uint8) for i in order[a:b].tolist()]
-            size = min(map(len, own))
-            bits = np.stack([folded(x, size) for x in own]).view(U)
-            for i in range(a, b - 1):
-                to = i + 1 + int(np.searchsorted(n[i + 1 : b], n[i] * 100 // top, side="right"))
-                other = np.flatnonzero(root[i + 1 : to] != root[i]) + i + 1
-                if len(other):
-                    far = np.bitwise_count(bits[other - a] ^ bits[i - a]).sum(axis=1, dtype=np.int64)
-                    for o in other[far * (100 + top) <= (100 - top) * (n[other] + n[i])].tolist():
-                        found.add((min(doc[i], doc[o]), max(doc[i], doc[o])))
-        pairs = sorted(found)
-        return pa.table([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], schema=schema)
-
-    return groups.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets))).applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 75, width: int = 5, first: int = 2) -> DataFrame:
+    In a forest, a pair counts as linked as soon as it is put out, so that a group of many gives about one pair a member;
+    members are taken in the order of a hash of their ids, so that all key groups agree on the hubs.
+    """
+    ids = np.asarray(sketches.column("id"))
+    n = np.asarray(sketches.column("size"))
+    hashed = np.argsort(mix64(ids.view(U)), kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[hashed] = np.arange(len(ids))
+    by_id = np.argsort(ids)
+    member = place[by_id[np.searchsorted(ids[by_id], np.asarray(groups.column("rep")))]]
+    ids, n = ids[hashed], n[hashed]
+    raw = sketches.column("bits").to_pylist()
+    bits = [np.frombuffer(raw[i], np.uint8) for i in hashed.tolist()]
+    root = np.empty(len(ids), np.int64)
+    root[member] = np.unique(np.asarray(groups.column("root")), return_inverse=True)[1]
+    up = np.arange(int(root.max()) + 1)  # components joined so far in this bucket
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return int(x)
+
+    key = np.asarray(groups.column("key"))
+    order = np.lexsort((member, key))
+    key, member = key[order], member[order]
+    start, found = runs(key), set()
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+        who = member[a:b]
+        own = np.array([find(x) for x in root[who].tolist()]) if forest else root[who]
+        if (own == own[0]).all():
+            continue
+        size = min(len(bits[i]) for i in who.tolist())
+        words = np.stack([folded(bits[i], size) for i in who.tolist()]).view(U)
+        m = n[who]
+        for i in range(len(who) - 1):
+            other = np.flatnonzero((own[i + 1 :] != own[i]) & (100 * np.minimum(m[i + 1 :], m[i]) >= top * np.maximum(m[i + 1 :], m[i]))) + i + 1
+            for at in range(0, len(other), 4096):
+                some = other[at : at + 4096]
+                far = np.bitwise_count(words[some] ^ words[i]).sum(axis=1, dtype=np.int64)
+                for o in some[far * (100 + top) <= (100 - top) * (m[some] + m[i])].tolist():
+                    if forest and own[o] == own[i]:
+                        continue
+                    x, y = int(ids[who[i]]), int(ids[who[o]])
+                    found.add((min(x, y), max(x, y)))
+                    if forest:
+                        up[own[o]] = own[i]
+                        own[own == own[o]] = own[i]
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIRS)
+
+
+def open_pairs(groups: DataFrame, reps: DataFrame, roots: DataFrame | None, buckets: int, top: int, forest: bool) -> DataFrame:
+    """Distinct pairs of _bucket_pairs over all buckets of keys; only keys that reach into two components are looked at."""
+    rooted = groups.withColumn("root", F.col("rep"))
+    if roots is not None:
+        rooted = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        rooted = rooted.join(mixed, "key", "left_semi")
+    rooted = saved(rooted.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "rep", "root"), "open")
+    members = rooted.select("bucket", "rep").distinct().join(reps, "rep").select(F.col("bucket").alias("own_bucket"), F.col("rep").alias("id"), F.col("n").alias("size"), F.col("sketch").alias("bits"))
+    pairs = rooted.groupBy("bucket").cogroup(members.groupBy("own_bucket")).applyInArrow(lambda g, s: _bucket_pairs(g, s, top, forest), "a bigint, b bigint")
+    return pairs.distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 75, width: int = 5) -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links, its own if none) of every row.
 
     Documents link when their shingle sets' Jaccard similarity is at least top %. Equal sets form a class first and one
-    document stands for it. Links that the first sketch matches prove are joined to components; then every remaining pair
-    of a key group that lies in two components is checked too, so that no link is lost. A null or empty text has no
-    shingles and is alone; rows with one id count as one document of several texts; a null id stays alone with a null
-    component; an empty table gives no rows.
+    document stands for it. Candidate pairs are verified in rounds: two that take about one pair a document, whose links
+    give components, and a last one with every pair left that joins a key and lies in two components, so that no link is
+    lost. A null or empty text has no shingles and is alone; rows with one id count as one document of several texts; a
+    null id stays alone with a null component; an empty table gives no rows.
     """
-    from pyspark.sql import Window
-
     size = int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(16, min(size >> 22, 1 << 20))
+    pair_buckets = max(16, buckets // 6)
     out = saved(sketch_pass(docs, id_col, text_col, buckets, top, width), "sketches")
     each = out.where("bucket is null").select("doc_id", "n", "sig", "sketch")
     # classes of equal sets: only those with copies are joined back, salted
@@ -280,28 +311,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = copies.select("sig", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copies, ["sig", "salt"], "left")
     each = saved(each.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("sketch")).alias("sketch")), "classes")
-    reps = each.where("sketch is not null").select(F.col("rep").alias("doc_id"), "n", "sketch")
-    of = each.where("n > 0 and doc_id is not null").select("doc_id", "rep", "n")
-    groups = saved(key_groups(out.where("bucket is not null").select("bucket", "keys", "owners")), "groups")
-    groups = groups.join(of, "doc_id").select("key", "rep", "n").distinct()
-    # one leader a key, picked by hash: others are matched with it
-    lead = groups.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", "m.a", "m.na")
-    groups = saved(groups.join(lead, "key"), "groups")
-    stars = groups.where("rep <> a and 100 * least(n, na) >= {0} * greatest(n, na)".format(top)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    words = reps.select("doc_id", "n", F.col("sketch").alias("x"))
-    stars = stars.join(words.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb")), "b")
-    stars = _near_by_sketch(stars, top)
-    best = stars.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("distance", "a"))).where(F.col("r") <= first)
-    tried = saved(best.select("a", "b"), "stars")
-    links = linked(tried, docs, id_col, text_col, top, width)
-    roots = components(links)
-    # what is left: key groups that lie in more than one component
-    rooted = groups.select("key", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rooted = rooted.join(mixed, "key", "left_semi").join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
-    rest = saved(cross_pairs(rooted, buckets, top).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = linked(rest, docs, id_col, text_col, top, width)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    # an id with several texts is the set of the first of them here; all its texts are compared when pairs are verified
+    reps = each.where("sketch is not null").groupBy(F.col("rep").alias("rep")).agg(F.min_by("n", "sketch").alias("n"), F.min("sketch").alias("sketch"))
+    of = each.where("n > 0 and doc_id is not null").select("doc_id", "rep").distinct()
+    groups = key_groups(out.where("bucket is not null").select("bucket", "keys", "owners")).join(of, "doc_id").select("key", "rep").distinct()
+    groups = saved(groups.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "rep"), "groups")
+    roots, tried = None, None
+    for forest in (True, True, False):
+        pairs = open_pairs(groups, reps, roots, pair_buckets, top, forest)
+        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = linked(pairs, docs, id_col, text_col, top, width)
+        roots = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        tried = pairs if tried is None else tried.unionByName(pairs)
     out = each.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
