@@ -267,7 +267,7 @@ def seat_words(pieces: DataFrame, word_buckets: int, sweeps: int, burn: int) ->
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 20 << 20, sweeps: int = 4, burn: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 10 << 20, sweeps: int = 4, burn: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every text.
 
     held_out is a Boolean column of docs; the model learns from all other rows. A null or empty text is its end alone;

@@ -13,8 +13,23 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _CODE = np.random.default_rng(20240101).integers(0, 1 << 63, (LONG, 256), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (run of other than ASCII white space, A-Z lower-cased) and the number of words of each text."""
+def hash_words(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (run of other than ASCII white space, A-Z lower-cased) and the number of words of each text.
+
+    Texts are taken about chunk bytes at a time: the arrays by byte are many times as large as the text.
+    """
+    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= chunk):
+            size += len(texts[to])
+            to += 1
+        parts.append(_hash_words(texts[at:to]))
+        at = to
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(texts).lower() + b"\n"
     c = np.frombuffer(joined, np.uint8)
     space = _SPACE[c]
