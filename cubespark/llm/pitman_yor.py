@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import crc_mod, mix64, pack, runs, saved, table, text_bytes, unpack
+from cubespark.llm.common import crc_mod, mix64, pack, release, runs, saved, table, text_bytes, unpack
 from cubespark.llm.seating import discount_of, reseat
 from cubespark.llm.wordhash import hash_words
 
@@ -60,6 +60,7 @@ def make_blocks(docs: DataFrame, block_bytes: int, hot_share: float) -> DataFram
                 if size >= block_bytes or len(ids) >= 200_000:
                     yield pa.RecordBatch.from_pylist([block(part << 24 | k, ids, train, texts)], BLOCK)
                     k, ids, train, texts, size = k + 1, [], [], [], 0
+                    release()
         if ids:
             yield pa.RecordBatch.from_pylist([block(part << 24 | k, ids, train, texts)], BLOCK)
 
@@ -111,6 +112,8 @@ def pair_pieces(blocks: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     s = runs(pu[a:b])
                     rows.append({"bucket": int(bucket[a]), "pid": row["pid"], "ctx": hu[a:b][s].tobytes(), "runs": pack(np.diff(np.append(s, b - a)).astype("<i4")), "words": short(hw[a:b]), "counts": pack(count[a:b].astype("<i4"))})
                 yield pa.RecordBatch.from_pylist(rows, PIECE)
+                del rows, bucket, pu, hu, hw, count, _
+                release()
 
     fields = blocks.select("pid", "sizes", "train", "vocab", "tokens")
     return fields.mapInArrow(run, "bucket int, pid bigint, ctx binary, runs binary, words binary, counts binary")
@@ -195,7 +198,10 @@ def seat_buckets(pieces: DataFrame, buckets: int, word_buckets: int, hot: np.nda
             m = int(s.sum())
             out.append({"kind": "x", "key": r["pid"], "part": r["bucket"], "hashes": None, "values": pack(kept[which[at : at + m]].astype("<f4"))})
             at += m
-        return pa.Table.from_pylist(out, MODEL)
+        made = pa.Table.from_pylist(out, MODEL)
+        del rows, hu, hw, n, key, order, which, out
+        release()
+        return made
 
     return pieces.groupBy("bucket").applyInArrow(run, MODEL_FIELDS)
 
@@ -278,7 +284,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint"), (~held_out).alias("train"), F.col(text_col))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(16, min(size // (9 << 20), 1 << 20))
+    buckets = max(16, min(size // (6 << 20), 1 << 20))
     word_buckets = max(16, buckets // 2)
     share = 1 / (16 * buckets)
     blocks = saved(make_blocks(docs, block_bytes, share), "blocks")
@@ -314,6 +320,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         ratio = (STRENGTH + fresh) / (STRENGTH + count)
         log = np.log10(kept_pair[pair] / (STRENGTH + count[u]) + ratio[u] * p[w])
         base = np.log10((count + 1) / (n + v + 1))[w]
+        del rows, kept_pair, pair, u, order, bucket
+        release()
         sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
         start = np.cumsum(sizes) - sizes
         ids = np.frombuffer(row["doc_ids"], "<i8,<i1")

@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Dishes of up to so many customers draw their number of tables from its exact conditional.
-EXACT = 96
+EXACT = 256
 
 
 @lru_cache(64)
@@ -23,16 +23,32 @@ def log_stirling(discount: float) -> np.ndarray:
     return out
 
 
+def log_ratio(t: np.ndarray, count: np.ndarray, discount: float) -> np.ndarray:
+    """log of S(n, t + 1) / S(n, t) for many customers n, read off the last exact row.
+
+    With few tables, t times the ratio is a function of t / n^d alone (the generating function's expansion at its
+    singularity is in powers of n^-d); with many, of t / n (its saddle point). Between them the two are blended.
+    """
+    row = log_stirling(discount)[EXACT]
+    k = np.arange(1, EXACT)
+    places, values = np.concatenate(([0.0], k)), np.concatenate(([-np.log(discount)], np.log(k) + row[2 : EXACT + 1] - row[1:EXACT]))
+    few = np.interp(t * (EXACT / count) ** discount, places, values)
+    many = np.interp(t * (EXACT / count), places, values)
+    share = np.clip((t / count - 0.1) / 0.2, 0, 1)
+    return (1 - share) * few + share * many - np.log(t)
+
+
 def reseat(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """A new number of tables of each dish given everyone else's seating.
 
     A dish of n customers opens table t + 1 with weight start + step * t (the restaurant's strength and other tables times
-    the parent's probability of the dish). Up to EXACT customers the table number comes from its exact conditional, the
-    table sizes summed out; for more, all customers are seated anew in turn and one of a few such seatings is drawn by its
-    importance weight. Time depends on the tables, not on the customers.
+    the parent's probability of the dish). All its customers are reseated at once: with the table sizes summed out, t has
+    weight S(n, t) * product of the opening weights. For more than EXACT customers the Stirling ratios come from their
+    scaling law; where the most likely t is large, t is drawn from the normal law around it.
     """
     tables = np.minimum(count, 1).astype(np.int64)
-    exact = log_stirling(round(discount, 3))
+    discount = round(discount, 3)
+    exact = log_stirling(discount)
     small = np.flatnonzero((count > 1) & (count <= EXACT))
     small = small[np.argsort(count[small], kind="stable")]
     n = count[small]
@@ -43,41 +59,42 @@ def reseat(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: flo
             at = small[lo : min(b, lo + max(1, 2_000_000 // size))]
             w = np.log(start[at, None] + step[at, None] * np.arange(1, size))
             w = np.concatenate((np.zeros((len(at), 1)), np.cumsum(w, axis=1)), axis=1) + exact[size, 1 : size + 1]
-            w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-            tables[at] = 1 + (w < (rng.random(len(at)) * w[:, -1])[:, None]).sum(axis=1)
+            tables[at] = 1 + _draw(w, rng)
     large = np.flatnonzero(count > EXACT)
-    if len(large):
-        tries = [_seat_all(count[large], start[large], step[large], discount, rng) for _ in range(3)]
-        weight = np.stack([w for _, w in tries])
-        pick = (weight + rng.gumbel(size=weight.shape)).argmax(axis=0)
-        tables[large] = np.stack([t for t, _ in tries])[pick, np.arange(len(large))]
+    for lo in range(0, len(large), 4000):
+        at = large[lo : lo + 4000]
+        tables[at] = _reseat_many(count[at].astype(float), start[at], step[at], discount, rng)
     return tables
 
 
-def _seat_all(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Seat all customers of each dish in turn; tables and log weights of the seatings.
+def _draw(log_weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    w = np.exp(log_weight - log_weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+    return (w < (rng.random(len(w)) * w[:, -1])[:, None]).sum(axis=1)
 
-    One customer at a time at first, then a 64th of those seated together, with the chance of a new table as it stands:
-    the steps grow with the logarithm of the customers.
-    """
-    order = np.argsort(-count, kind="stable")
-    n, a, b = count[order].astype(float), start[order], step[order]
-    tables, weight, seated = np.ones(len(n)), np.zeros(len(n)), 1.0
-    live = len(n)
-    while live:
-        live = int(np.searchsorted(-n[:live], -seated, side="left"))  # those with more customers than seated
-        if not live:
-            break
-        size = np.minimum(max(1.0, seated // 64), n[:live] - seated)
-        new = a[:live] + b[:live] * tables[:live]
-        total = new + seated - discount * tables[:live]
-        weight[:live] += size * np.log(total + (size - 1) / 2)
-        chance = np.minimum(new / total, 1.0)
-        tables[:live] += rng.random(live) < chance if seated < 128 else rng.binomial(size.astype(np.int64), chance)
-        seated += max(1.0, seated // 64)
-    back = np.empty(len(n), np.int64)
-    back[order] = np.arange(len(n))
-    return np.minimum(tables, n)[back].astype(np.int64), weight[back]
+
+def _reseat_many(n: np.ndarray, start: np.ndarray, step: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    def slope(t: np.ndarray) -> np.ndarray:
+        """How the log weight changes from t to t + 1."""
+        return np.log(start + step * t) + log_ratio(t, n, discount)
+
+    low, high = np.ones(len(n)), n.copy()
+    for _ in range(60):
+        middle = np.sqrt(low * high)
+        rising = slope(middle) > 0
+        low, high = np.where(rising, middle, low), np.where(rising, high, middle)
+    out = np.ones(len(n), np.int64)
+    few = np.flatnonzero(low <= 60)
+    if len(few):
+        t = np.arange(1, 256)
+        w = np.log(start[few, None] + step[few, None] * t) + log_ratio(np.broadcast_to(t, (len(few), 255)).astype(float), n[few, None], discount)
+        out[few] = 1 + _draw(np.concatenate((np.zeros((len(few), 1)), np.cumsum(w, axis=1)), axis=1), rng)
+    many = np.flatnonzero(low > 60)
+    if len(many):
+        d = 0.05 * low
+        bend = (slope(low + d) - slope(low - d)) / (2 * d)
+        spread = np.sqrt(-1 / np.minimum(bend, -1e-12))
+        out[many] = np.clip(np.rint(rng.normal(low[many], spread[many])), 1, n[many])
+    return out
 
 
 def discount_of(count: np.ndarray) -> float:
