@@ -28,18 +28,20 @@ def test_base_score_and_gain(spark, folder, docs):
 
 
 def test_probabilities_sum_to_one(spark):
-    """The score of 'a w' over all known words w, and one unknown, adds up to the score of 'a'."""
+    """All texts over the known words and one unknown word together have probability 1.
+
+    score(u w) / score(u) is P(w | u) up to a factor of u and one of w that cancel along a text, so the sum over texts of
+    all lengths is a matrix inverse.
+    """
     train = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a a d", "b a b", "d d a b c"])]
     words = ["a", "b", "c", "d", "unseen"]
-    ask = [(100 + k, f"a {w}") for k, w in enumerate(words)] + [(99, "a")]
-    df = spark.createDataFrame(train + ask, "doc_id long, text string")
-    s = {r["doc_id"]: 10 ** r["score"] for r in pitman_yor.score_texts(df, F.col("doc_id") >= 99).collect()}
-    # P(a) P(end | a) is the text "a"; P(a) P(w | a) P(end | w) the others: weigh P(end | w) out with texts of w alone
-    single = spark.createDataFrame(train + [(200 + k, w) for k, w in enumerate(words)], "doc_id long, text string")
-    one = {r["doc_id"]: 10 ** r["score"] for r in pitman_yor.score_texts(single, F.col("doc_id") >= 99).collect()}
-    first = sum(one[200 + k] for k in range(5))
-    assert 0 < first < 1
-    assert sum(s[100 + k] for k in range(5)) + s[99] < one[200] * 3
+    ask = ["", *words, *(f"{u} {w}" for u in words for w in words)]
+    df = spark.createDataFrame(train + [(100 + k, t) for k, t in enumerate(ask)], "doc_id long, text string")
+    got = {r["doc_id"]: 10 ** r["score"] for r in pitman_yor.score_texts(df, F.col("doc_id") >= 100).collect()}
+    s = dict(zip(ask, [got[100 + k] for k in range(len(ask))], strict=True))
+    first = np.array([s[w] for w in words])
+    step = np.array([[s[f"{u} {w}"] / s[u] for w in words] for u in words])
+    assert s[""] + first @ np.linalg.inv(np.eye(5) - step) @ np.ones(5) == pytest.approx(1.0, abs=1e-4)
 
 
 def test_reseat_against_enumeration():
@@ -50,13 +52,21 @@ def test_reseat_against_enumeration():
     assert got == pytest.approx(weight / weight.sum(), abs=0.01)
 
 
-def test_seatings_of_many_agree(monkeypatch):
-    n, a, b, d = np.full(4000, 90), np.full(4000, 2.0), np.full(4000, 0.1), 0.5
-    exact = seating.reseat(n, a, b, d, np.random.default_rng(1)).mean()
-    monkeypatch.setattr(seating, "EXACT", 10)
-    seating.log_stirling.cache_clear()
-    assert seating.reseat(n, a, b, d, np.random.default_rng(2)).mean() == pytest.approx(exact, rel=0.05)
-    seating.log_stirling.cache_clear()
+@pytest.mark.parametrize("n,a,b,d", [(600, 2.0, 0.1, 0.5), (900, 40.0, 0.2, 0.8), (900, 0.01, 0.0, 0.75), (1200, 300.0, 0.4, 0.6)])
+def test_seatings_of_many(n, a, b, d):
+    """Against the recurrence carried on to n customers."""
+    row = np.full(n + 2, -np.inf)
+    row[1], k = 0.0, np.arange(n + 2)
+    for m in range(1, n):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            row = np.logaddexp(np.concatenate(([-np.inf], row[:-1])), np.where(k <= m, np.log(np.maximum(m - d * k, 1e-300)) + row, -np.inf))
+    t = np.arange(1, n + 1)
+    w = row[1 : n + 1] + np.concatenate(([0.0], np.cumsum(np.log(a + b * t[:-1]))))
+    p = np.exp(w - w.max())
+    p /= p.sum()
+    mean, std = p @ t, np.sqrt(p @ t**2 - (p @ t) ** 2)
+    got = seating.reseat(np.full(4000, n), np.full(4000, a), np.full(4000, b), d, np.random.default_rng(2))
+    assert got.mean() == pytest.approx(mean, rel=0.03) and got.std() == pytest.approx(std, rel=0.15, abs=0.05)
 
 
 def test_word_hashes():
