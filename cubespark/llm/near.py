@@ -221,18 +221,21 @@ def _id_filter(ids: DataFrame, max_bits: int = 27) -> bytes | None:
     return bytes(out[: max((1 << log) // 8, 1)])
 
 
+#: Key groups of up to so many members are taken together.
+SMALL = 12
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: bool) -> pa.Table:
+def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: int | None) -> pa.Table:
     """Pairs of a bucket's key groups that lie in two components and whose sizes and sketches allow a link.
 
     In a forest, a pair counts as linked as soon as it is put out, so that a group of many gives about one pair a member;
-    members are taken in the order of a hash of their ids, so that all key groups agree on the hubs.
+    members are taken in the order of a hash of their ids and the forest's number, so that all key groups agree on the
+    hubs and another forest tries others. Pairs of small groups are compared once for all keys that they share.
     """
     ids = np.asarray(sketches.column("id"))
     n = np.asarray(sketches.column("size"))
-    hashed = np.argsort(mix64(ids.view(U)), kind="stable")
+    hashed = np.argsort(mix64(ids.view(U) + U(0 if forest is None else forest)), kind="stable")
     place = np.empty(len(ids), np.int64)
     place[hashed] = np.arange(len(ids))
     by_id = np.argsort(ids)
@@ -253,10 +256,11 @@ def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: bool)
     key = np.asarray(groups.column("key"))
     order = np.lexsort((member, key))
     key, member = key[order], member[order]
-    start, found = runs(key), set()
-    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+    start, found = runs(key), []
+    sizes = np.diff(np.append(start, len(key)))
+    for a, b in zip(start[sizes > SMALL].tolist(), (start + sizes)[sizes > SMALL].tolist(), strict=True):
         who = member[a:b]
-        own = np.array([find(x) for x in root[who].tolist()]) if forest else root[who]
+        own = root[who] if forest is None else np.array([find(x) for x in root[who].tolist()])
         if (own == own[0]).all():
             continue
         size = min(len(bits[i]) for i in who.tolist())
@@ -268,18 +272,35 @@ def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: bool)
                 some = other[at : at + 4096]
                 far = np.bitwise_count(words[some] ^ words[i]).sum(axis=1, dtype=np.int64)
                 for o in some[far * (100 + top) <= (100 - top) * (m[some] + m[i])].tolist():
-                    if forest and own[o] == own[i]:
-                        continue
-                    x, y = int(ids[who[i]]), int(ids[who[o]])
-                    found.add((min(x, y), max(x, y)))
-                    if forest:
+                    if forest is not None:
+                        if own[o] == own[i]:
+                            continue
                         up[own[o]] = own[i]
                         own[own == own[o]] = own[i]
-    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIRS)
-
-
-def open_pairs(groups: DataFrame, reps: DataFrame, roots: DataFrame | None, buckets: int, top: int, forest: bool) -> DataFrame:
+                    found.append((int(who[i]), int(who[o])))
+    codes = [np.zeros(0, np.int64)]
+    for size in range(2, SMALL + 1):
+        who = member[start[sizes == size][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        codes.append(np.unique(who[:, i] * len(ids) + who[:, j]))
+    x, y = np.divmod(np.unique(np.concatenate(codes)), len(ids))
+    ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= top * np.maximum(n[x], n[y]))
+    for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        if forest is not None:
+            u, v = find(int(root[i])), find(int(root[j]))
+            if u == v:
+                continue
+        size = min(len(bits[i]), len(bits[j]))
+        if int(np.bitwise_count(folded(bits[i], size) ^ folded(bits[j], size)).sum()) * (100 + top) <= (100 - top) * int(n[i] + n[j]):
+            if forest is not None:
+                up[v] = u
+            found.append((i, j))
+    at = np.array(found, np.int64).reshape(-1, 2)
+    pairs = np.unique(np.sort(ids[at], axis=1), axis=0).reshape(-1, 2)
+    return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=PAIRS)
+
+
+def open_pairs(groups: DataFrame, reps: DataFrame, roots: DataFrame | None, buckets: int, top: int, forest: int | None) -> DataFrame:
     """Distinct pairs of _bucket_pairs over all buckets of keys; only keys that reach into two components are looked at."""
     rooted = groups.withColumn("root", F.col("rep"))
     if roots is not None:
@@ -317,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = key_groups(out.where("bucket is not null").select("bucket", "keys", "owners")).join(of, "doc_id").select("key", "rep").distinct()
     groups = saved(groups.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "rep"), "groups")
     roots, tried = None, None
-    for forest in (True, True, False):
+    for forest in (0, 1, None):
         pairs = open_pairs(groups, reps, roots, pair_buckets, top, forest)
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = linked(pairs, docs, id_col, text_col, top, width)
