@@ -32,11 +32,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so a lost executor costs nothing already done."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that go to a Python worker at a time; texts can be long.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def saved(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back, so a lost executor costs nothing already done.
+
+    batch_rows holds for this write only: fewer rows at a time take less memory in the executor and its workers.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -265,7 +265,10 @@ def seat_words(pieces: DataFrame, word_buckets: int, sweeps: int, burn: int) ->
             i = which[at : at + len(r["hashes"]) // 8]
             at += len(i)
             out.append({"pid": r["pid"], "part": r["key"], "counts": pack(count[i]), "kept": pack(kept[i].astype("<f4")), "fresh": pack(fresh[i].astype("<f4"))})
-        return pa.Table.from_pylist(out, WORDS)
+        made = pa.Table.from_pylist(out, WORDS)
+        del rows, blocks, words, which, brief, tables, fresh, kept, out
+        release()
+        return made
 
     return pieces.groupBy("key").applyInArrow(run, "pid bigint, part int, counts binary, kept binary, fresh binary, n bigint, v bigint, customers double, kept_sum double")
 
@@ -273,7 +276,7 @@ def seat_words(pieces: DataFrame, word_buckets: int, sweeps: int, burn: int) ->
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 10 << 20, sweeps: int = 4, burn: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, sweeps: int = 4, burn: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every text.
 
     held_out is a Boolean column of docs; the model learns from all other rows. A null or empty text is its end alone;
@@ -287,7 +290,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     buckets = max(16, min(size // (6 << 20), 1 << 20))
     word_buckets = max(16, buckets // 2)
     share = 1 / (16 * buckets)
-    blocks = saved(make_blocks(docs, block_bytes, share), "blocks")
+    blocks = saved(make_blocks(docs, block_bytes, share), "blocks", batch_rows=500)
     # a context with more than twice that share of all tokens has more than it in some block; so few can have it
     hot = blocks.select(F.explode("hot").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c"))
     total = blocks.agg(F.sum("n_tokens")).first()[0]

@@ -55,8 +55,8 @@ def reseat(count: np.ndarray, start: np.ndarray, step: np.ndarray, discount: flo
     cuts = np.flatnonzero(np.diff(n, prepend=0)) if len(n) else np.zeros(0, np.int64)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)] if len(n) else [], strict=True):
         size = int(n[a])
-        for lo in range(a, b, max(1, 2_000_000 // size)):
-            at = small[lo : min(b, lo + max(1, 2_000_000 // size))]
+        for lo in range(a, b, max(1, 400_000 // size)):
+            at = small[lo : min(b, lo + max(1, 400_000 // size))]
             w = np.log(start[at, None] + step[at, None] * np.arange(1, size))
             w = np.concatenate((np.zeros((len(at), 1)), np.cumsum(w, axis=1)), axis=1) + exact[size, 1 : size + 1]
             tables[at] = 1 + _draw(w, rng)
