@@ -57,8 +57,15 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with fn from a record batch to a dict of columns in the schema's order."""
+def slices(batch: pa.RecordBatch, size: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about size bytes."""
+    rows = batch.num_rows if size is None else max(1, int(batch.num_rows * min(1.0, size / max(batch.nbytes, 1))))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, slice_bytes: int | None = 8 << 20) -> DataFrame:
+    """mapInArrow with fn from a record batch of about slice_bytes to a dict of columns in the schema's order."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -66,8 +73,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+            for part in slices(batch, slice_bytes) if batch.num_rows else ():
+                if (out := fn(part)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+            if batch.nbytes > 1 << 20:
+                release()
 
     return df.mapInArrow(run, schema)
 

@@ -109,7 +109,7 @@ def _shards(texts: list, size: int):
         at = to
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 32 << 20, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 8 << 20, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
     """id, n_words, spans (merged removal spans in words), items (sorted) of every text.
 
     Phrases go to all executors; a benchmark of more than max_benchmark_bytes is taken in so many parts that each stays
@@ -155,7 +155,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return arrow_map(merged, join, ", ".join(f"`{n}` {t}" for n, t in merged.dtypes))
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 32 << 20) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs without the hit words (from a span's first word to its last); clean texts stay as they are.
 
     The benchmark's phrases go to all executors, so it must be small (find_contamination takes one of any size).
@@ -165,7 +165,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = text_bytes(batch.column(at))
-        out: list[str | None] = []
+        out: list[bytes | None] = []
         for _, shard in _shards(texts, shard_bytes):
             _, hits, _ = find_hits(shard, phrases.value)
             for t, h in zip(shard, hits, strict=True):
@@ -176,7 +176,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
                         kept.append(t[done : places[a][0]])
                         done = places[b - 1][1]
                     t = b"".join([*kept, t[done:]])
-                out.append(None if t is None else t.decode("utf-8", "replace"))
+                out.append(t)
         return {n: out if n == text_col else batch.column(i) for i, n in enumerate(names)}
 
     return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

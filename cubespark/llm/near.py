@@ -143,7 +143,7 @@ def sketch_pass(docs: DataFrame, id_col: str, text_col: str, buckets: int, top:
                 out[k] += [None] * more
         return out
 
-    return arrow_map(docs.select(F.col(id_col).cast("bigint"), text_col), run, "bucket int, doc_id bigint, n bigint, sig binary, sketch binary, keys binary, owners binary")
+    return arrow_map(docs.select(F.col(id_col).cast("bigint"), text_col), run, "bucket int, doc_id bigint, n bigint, sig binary, sketch binary, keys binary, owners binary", slice_bytes=None)
 
 
 def key_groups(packed: DataFrame) -> DataFrame:

@@ -101,16 +101,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
                 if raw[i]:
                     if spans := find(rule, regex, raw[i].decode("utf-8", "replace")):
                         found.setdefault(i, []).extend((s, e, rule.kind) for s, e in spans)
-        texts = [None if t is None else t.decode("utf-8", "replace") for t in raw]
         for i, spans in found.items():
-            text, out, done = texts[i], [], 0
+            text, out, done = raw[i].decode("utf-8", "replace"), [], 0
             for s, e, kind in sorted(spans):
                 if e > done:
                     if s >= done:
                         out.append(text[done:s] + f"[{kind}]")
                     done = e
-            texts[i] = "".join(out) + text[done:]
-        return {n: texts if n == text_col else batch.column(j) for j, n in enumerate(names)}
+            raw[i] = ("".join(out) + text[done:]).encode()
+        return {n: raw if n == text_col else batch.column(j) for j, n in enumerate(names)}
 
     return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
