@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import arrow_map, mix64, pack, runs, saved, table, text_bytes, unpack
+from cubespark.llm.common import arrow_map, mix64, pack, release, runs, saved, table, text_bytes, unpack
 from cubespark.llm.components import components
 
 U = np.uint64
@@ -157,7 +157,10 @@ def key_groups(packed: DataFrame) -> DataFrame:
         code = code[order]
         same = code[1:] == code[:-1]
         keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        return pa.table([code[keep].view(np.int64), own[order][keep]], schema=schema)
+        made = pa.table([code[keep].view(np.int64), own[order][keep]], schema=schema)
+        del code, own, order, same, keep
+        release()
+        return made
 
     return packed.groupBy("bucket").applyInArrow(run, "key bigint, doc_id bigint")
 
@@ -295,6 +298,8 @@ def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: int |
             if forest is not None:
                 up[v] = u
             found.append((i, j))
+    del key, member, order, codes, raw, bits
+    release()
     at = np.array(found, np.int64).reshape(-1, 2)
     pairs = np.unique(np.sort(ids[at], axis=1), axis=0).reshape(-1, 2)
     return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=PAIRS)
