@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from cubespark.cube import Cube
 from cubespark.functions import uniform
 from cubespark.operators.cleaning import drop_missing, drop_unmasked_samples, fill_missing, filter_points, mask_cells
-from cubespark.operators.geometry import block_sizes, total_chunks, window_keys, windows, with_chunks
+from cubespark.operators.geometry import as_arrays, chunk_by_index, total_chunks, window_keys, windows, with_chunks
 from cubespark.operators.scaling import scale, scale_params
-from cubespark.operators.splitting import create_split
+from cubespark.operators.splitting import create_split, fraction_split
 
 
 def sample_cells(cube: Cube, size: dict[str, int] | None = None, overlap: dict[str, float] | None = None, block: dict[str, int] | None = None) -> tuple[DataFrame, list[str]]:
@@ -80,6 +80,82 @@ class SampleSet:
         return create_split(self.cells, target, picked)
 
 
+class ChunkDataset:
+    """Chunks by number: len() and [k], a pandas frame of the chunk's cells, processed if asked for."""
+
+    def __init__(self, cube: Cube, chunks: list[int] | int | None = None, seed: int | None = None, block: dict[str, int] | None = None, callback: Callable | None = None, processed: bool = False, **options):
+        self.cube, self.block, self.callback, self.processed, self.options = cube, block, callback, processed, options
+        total = total_chunks(cube, block)
+        if isinstance(chunks, list):
+            self.chunks = chunks
+        else:
+            order = range(total) if seed is None else [r[0] for r in cube.df.sparkSession.range(total).orderBy(uniform(seed, "id"), "id").collect()]
+            self.chunks = list(order)[: total if chunks is None else chunks]
+
+    def __len__(self) -> int:
+        return len(self.chunks)
+
+    def __getitem__(self, k: int):
+        part = chunk_by_index(self.cube, self.chunks[k], self.block)
+        if self.processed:
+            cells, keys = process(Cube(part.df, part.axes, part.variables, dict(part.sizes)), **self.options)
+            cells = cells.orderBy(*keys, "pos")
+        else:
+            cells = part.df.orderBy(*part.index())
+        frame = cells.toPandas()
+        return self.callback(frame) if self.callback else frame
+
+
+class ChunkSampler:
+    """Sample sets larger than memory: one job from the scan to train and test partitions of a Parquet folder.
+
+    The scale parameters are those of the whole cube (fit_on "train": of its training cells). Without a split variable,
+    each chunk's samples are split by share in hash order. A window that straddles both roles goes to both, the other
+    role's cells missing in it.
+    """
+
+    def __init__(self, cube: Cube, path: str, share: float = 0.8, chunk_share: float = 1.0, seed: int = 0, block: dict[str, int] | None = None, size: dict[str, int] | None = None, overlap: dict[str, float] | None = None, callback: Callable[[DataFrame], DataFrame] | None = None, scale_by: str | None = "standardize", fit_on: str = "all", **options):
+        self.cube, self.path, self.share, self.chunk_share, self.seed, self.block = cube, path, share, chunk_share, seed, block
+        self.size, self.overlap, self.callback, self.options = size, overlap, callback, options
+        self.variables = [v for v in cube.data_variables if v != options.get("mask", "filter_mask")]
+        self.scale_by = scale_by
+        base = cube.df.where("split") if fit_on == "train" and "split" in cube.variables else cube.df
+        self.params = scale_params(base, self.variables, scale_by) if scale_by in ("normalize", "standardize") else {}
+
+    def _samples(self, cube: Cube) -> tuple[DataFrame, list[str]]:
+        cells, keys = process(cube, self.size, self.overlap, self.block, **self.options)
+        total = total_chunks(cube, self.block)
+        if self.chunk_share < 1:
+            ids = cells.sparkSession.range(total).orderBy(uniform(self.seed, "id"), "id").limit(int(total * self.chunk_share + 1e-9))
+            cells = cells.join(ids.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi")
+        cells = self.callback(cells) if self.callback else cells
+        return scale(cells, self.params, self.scale_by or ""), keys
+
+    def _rows(self, cells: DataFrame, keys: list[str]) -> DataFrame:
+        return cells.select(*keys, *self.variables) if self.size is None else as_arrays(cells, keys, self.variables)
+
+    def create(self, mode: str = "overwrite") -> None:
+        from cubespark.sources import write_samples
+
+        if "split" in self.cube.variables:
+            out = None
+            for role in (True, False):
+                kept = {v: F.when(F.col("split") == role, F.col(v)) for v in self.variables}
+                cells, keys = self._samples(self.cube.with_df(self.cube.df.withColumns(kept)))
+                rows = self._rows(cells, keys).withColumn("split", F.lit(role))
+                out = rows if out is None else out.unionByName(rows)
+        else:
+            cells, keys = self._samples(self.cube)
+            rows = self._rows(cells, keys)
+            out = fraction_split(rows, ["chunk_id"], self.share, self.seed, *keys)
+        write_samples(out, self.path, mode)
+
+    def datasets(self) -> tuple[DataFrame, DataFrame]:
+        from cubespark.sources import read_samples
+
+        return read_samples(self.cube.df.sparkSession, self.path)
+
+
 def batches(df: DataFrame, size: int, seed: int | None, *keys: str, drop_last: bool = True) -> DataFrame:
     """batch_id of each row in hash order (by key without a seed), numbered in two steps: rows are counted by a coarse
     range of the hash, so that no single task orders them all."""
@@ -116,6 +192,3 @@ def lag_features(cube: Cube, variable: str, dim: str, lags: tuple[int, ...]) ->
     by = Window.partitionBy(*cube.index(*[d for d in cube.dims if d != dim])).orderBy(f"i_{dim}")
     return cube.df.select(*cube.index(), variable, *[F.lag(variable, k).over(by).alias(f"{variable}_lag{k}") for k in lags])
 
-
-def default_blocks(cube: Cube) -> dict[str, int]:
-    return block_sizes(cube)

@@ -51,7 +51,7 @@ def test_windows_like_numpy(spark, size, overlap):
         n = [max(0, (length - s) // d + 1) for length, s, d in zip(part.shape, size, stride, strict=True)]
         for i in np.ndindex(*n):
             w = part[tuple(slice(k * d, k * d + s) for k, d, s in zip(i, stride, size, strict=True))].ravel()
-            want.append(tuple(None if np.isnan(x) else x for x in w))
+            want.append(tuple(None if np.isnan(x) else float(x) for x in w))
     assert sorted(map(str, want)) == sorted(str(tuple(r["v"])) for r in arrays)
 
 
@@ -261,3 +261,26 @@ def test_dates_as_labels(spark):
     df = spark.createDataFrame([(datetime.date(2020, 1, k), float(k)) for k in (1, 2, 5)], "d date, x double")
     cube = from_table(df, {"d": F.col("d")}, {"x": F.avg("x")})
     assert geometry.dim_range(cube, "d") == ("2020-01-01", "2020-01-05")
+
+
+def test_chunk_dataset(spark):
+    cube = cube_of(spark, gappy((4, 6, 2)), {"t": 2, "y": 4, "x": 2})
+    ds = samples.ChunkDataset(cube, seed=3)
+    assert len(ds) == 4 and sorted(ds.chunks) == [0, 1, 2, 3] and sum(len(ds[k]) for k in range(4)) == 48
+    part = samples.ChunkDataset(cube, chunks=[1], processed=True, drop="auto", callback=lambda f: f["v"])
+    assert part[0].notna().all()
+
+
+@pytest.mark.parametrize("split", [True, False])
+def test_chunk_sampler(spark, tmp_path, split):
+    cube = cube_of(spark, gappy((4, 6, 2)), {"t": 2, "y": 6, "x": 2})
+    cube = splitting.block_split(cube, {"t": 1, "y": 3, "x": 2}, 0.5, 2) if split else cube
+    points = samples.ChunkSampler(cube, str(tmp_path / "points"), share=0.5, scale_by="normalize")
+    points.create()
+    train, test = points.datasets()
+    n = cube.df.where("v is not null").count()
+    assert train.count() + test.count() == n and 0 < train.count() < n
+    assert train.unionByName(test).agg(F.min("v"), F.max("v")).first() == (0.0, 1.0)
+    wide = samples.ChunkSampler(cube, str(tmp_path / "windows"), size={"t": 1, "y": 3, "x": 2}, drop="if_all_nan", fill="sample_mean", scale_by=None)
+    wide.create()
+    assert {len(r["v"]) for part in wide.datasets() for r in part.collect()} == {6}
