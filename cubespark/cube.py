@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cubespark.functions import missing_to_null
 
@@ -51,9 +53,8 @@ class Cube:
 
     def axis_table(self, dim: str) -> DataFrame:
         """(i_<dim>, <dim>) of one axis; local data, so that Spark knows its size and broadcasts it only if small."""
-        field = self.df.schema[dim]
-        spark = self.df.sparkSession
-        return spark.createDataFrame(list(enumerate(self.axes[dim])), f"i_{dim} bigint, `{dim}` {field.dataType.simpleString()}")
+        labels = pa.array(self.axes[dim], to_arrow_type(self.df.schema[dim].dataType))
+        return self.df.sparkSession.createDataFrame(pa.table({f"i_{dim}": pa.array(range(len(labels)), pa.int64()), dim: labels}))
 
     def select(self, *variables: str) -> Cube:
         """Variable projection."""
@@ -100,13 +101,23 @@ def from_table(df: DataFrame, dims: dict[str, Column], values: dict[str, Column]
 
 
 def densified(seen: DataFrame, cube: Cube) -> DataFrame:
-    """All cells of the axes with what was seen of them. The axes' product is the cube itself, so it is no wider than the
-    result; it is joined on all labels."""
-    grid = None
+    """All cells of the axes with what was seen of them.
+
+    Cells are a distributed range of row-major numbers, so the grid is made in parallel whatever its size; what was seen
+    meets it by one equi-join on that number, labels by joins with the axes.
+    """
+    for d in cube.dims:
+        seen = seen.join(cube.axis_table(d), d)
+    sizes = cube.sizes
+    seen = seen.select(row_major([(F.col(f"i_{d}"), n) for d, n in sizes.items()]).alias("_cell"), *cube.variables)
+    grid = seen.sparkSession.range(cube.cells).withColumnRenamed("id", "_cell").join(seen, "_cell", "left")
+    stride = 1
+    for d in reversed(cube.dims):
+        grid = grid.withColumn(f"i_{d}", F.expr(f"(_cell div {stride}) % {sizes[d]}"))
+        stride *= sizes[d]
     for d in cube.dims:
-        axis = cube.axis_table(d)
-        grid = axis if grid is None else grid.crossJoin(axis)
-    return grid.join(seen, cube.dims, "left").select(*cube.index(), *cube.dims, *cube.variables)
+        grid = grid.join(cube.axis_table(d), f"i_{d}")
+    return grid.select(*cube.index(), *cube.dims, *cube.variables)
 
 
 def from_cells(df: DataFrame, dims: Sequence[str], chunks: dict[str, int] | None = None) -> Cube:
