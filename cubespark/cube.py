@@ -67,6 +67,12 @@ class Cube:
     def rename(self, old: str, new: str) -> Cube:
         return self.with_df(self.df.withColumnRenamed(old, new), [new if v == old else v for v in self.variables])
 
+    def rename_dims(self, names: list[str]) -> Cube:
+        """Dimensions named anew in order; with fewer names than dimensions the rest keep theirs."""
+        pairs = dict(zip(self.dims, names, strict=False))
+        df = self.df.withColumnsRenamed({f"i_{a}": f"i_{b}" for a, b in pairs.items()} | pairs)
+        return Cube(df, {pairs.get(d, d): v for d, v in self.axes.items()}, self.variables, {pairs.get(d, d): c for d, c in self.chunks.items()})
+
     def cell_number(self) -> Column:
         """Row-major number of the cell."""
         return row_major([(F.col(f"i_{d}"), n) for d, n in self.sizes.items()])

@@ -24,6 +24,15 @@ def drop_unmasked_samples(df: DataFrame, keys: list[str], mask: str = "filter_ma
     return df.withColumn("_all", F.bool_and(F.coalesce(F.col(mask), F.lit(False))).over(Window.partitionBy(*keys))).where("_all").drop("_all")
 
 
+def apply_filter(df: DataFrame, variables: list[str], keys: list[str] | None = None, mask: str = "filter_mask", drop_sample: bool = False) -> DataFrame:
+    """A mask applied to points (no keys), to whole samples, or to cells; nothing happens without the mask column."""
+    if mask not in df.columns:
+        return df
+    if keys is None:
+        return filter_points(df, variables, mask)
+    return drop_unmasked_samples(df, keys, mask) if drop_sample else mask_cells(df, variables, mask)
+
+
 def sample_validity(variables: list[str], mode: str, mask: str | None) -> Column:
     """An aggregate over a sample's cells: is the sample kept?"""
     if not variables:

@@ -143,3 +143,24 @@ def fill_gaps(cube: Cube, variable: str, layer_dim: str, layer: int, gaps: DataF
     actual = target.select(*[F.col(p).alias(f"g_{p}") for p in pixel], F.col("now").alias("actual"))
     out = renamed.join(actual, [f"g_{p}" for p in pixel], "left").join(near, keys, "left").join(fitted, keys, "left")
     return out.select("gap_size", *[F.col(f"g_{p}").alias(p) for p in pixel], "actual", F.coalesce("model", "near").alias("filled"), "cv_error", F.when(F.col("model").isNotNull(), "model").when(F.col("near").isNotNull(), "nearest").alias("how"))
+
+
+def study(cube: Cube, variable: str, layer_dim: str, layer: object = None, sizes: list[float] | None = None, seed: int = 0, **options) -> tuple[DataFrame, DataFrame]:
+    """Fill one layer's gaps and score it: (filled pixels, one row a gap size with errors).
+
+    layer is a label (the nearest is taken) or None for one picked by the seed. With sizes, artificial gaps of those shares
+    are filled and scored against the values they hide; without, the layer's own gaps are filled, and nothing is scored.
+    """
+    from cubespark.operators.selection import nearest_index, random_index
+
+    index = random_index(cube, layer_dim, seed).first()[0] if layer is None else nearest_index(cube, layer_dim, layer)
+    pixel = [f"i_{d}" for d in pixel_dims(cube, layer_dim)]
+    target = cube.df.where(F.col(f"i_{layer_dim}") == index).select(*pixel, variable)
+    if sizes:
+        gaps = artificial_gaps(target, variable, sizes, seed, *pixel)
+    else:
+        share = layer_report(target, variable).select(F.round(F.col("gaps") / F.col("pixels"), 3).cast("double").alias("gap_size"))
+        gaps = target.where(F.col(variable).isNull()).crossJoin(F.broadcast(share)).select("gap_size", *pixel)
+    filled = fill_gaps(cube, variable, layer_dim, index, gaps, seed=seed, **options)
+    scores = filled.groupBy("gap_size").agg(F.count("*").alias("gaps"), F.count("filled").alias("filled"), F.bround(F.avg(F.abs(F.col("actual") - F.col("filled"))), 3).alias("mae"), F.bround(F.avg("cv_error"), 3).alias("cv_mae"))
+    return filled, scores

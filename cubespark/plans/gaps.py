@@ -108,6 +108,12 @@ def gapfill_svr_classes(spark, d):
     return rounded(out, "actual", "filled", "cv_error", places=4)
 
 
+@query("gapfill_study")
+def gapfill_study(spark, d):
+    """Real gaps of a layer filled by the models, with their cross-validated error."""
+    return gapfill.study(ecube(spark, d), "v", "t", seed=2, n_points=15, hyperparameters="Custom")[1]
+
+
 _B = """with g as (select s_suppkey % 20 x, s_suppkey // 20 y, s_nationkey < 15 m from supplier), i as (select x, y from g where m),
 er as (select i.x, i.y from i where (select count(*) from i j where abs(j.x - i.x) + abs(j.y - i.y) = 1) = 4), ed as (select * from i except select * from er)
 select x, y, m, exists (select 1 from ed where abs(ed.x - g.x) + abs(ed.y - g.y) <= 1) as border from g"""

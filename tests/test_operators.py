@@ -284,3 +284,23 @@ def test_chunk_sampler(spark, tmp_path, split):
     wide = samples.ChunkSampler(cube, str(tmp_path / "windows"), size={"t": 1, "y": 3, "x": 2}, drop="if_all_nan", fill="sample_mean", scale_by=None)
     wide.create()
     assert {len(r["v"]) for part in wide.datasets() for r in part.collect()} == {6}
+
+
+def test_study_of_a_layer(spark):
+    season = np.random.default_rng(1).normal(size=24)
+    a = 2 * season[:, None, None] + np.arange(5)[None, :, None] * np.ones((1, 1, 5))
+    a[7, 2, 2] = np.nan
+    cube = cube_of(spark, a)
+    filled, scores = gapfill.study(cube, "v", "t", layer=71, hyperparameters="FullGridSearch", n_points=8)
+    row = filled.first()
+    assert (row["i_y"], row["i_x"], row["actual"]) == (2, 2, None) and abs(row["filled"] - (2 * season[7] + 2)) < 0.7
+    assert scores.first()["mae"] is None and scores.first()["gap_size"] == 0.04
+    assert gapfill.study(cube, "v", "t", sizes=[0.2], seed=1, hyperparameters="Custom", n_points=8)[1].first()["gaps"] == 5
+
+
+def test_rename_and_filter(spark):
+    cube = cube_of(spark, gappy((2, 3, 2)), {"t": 1}).rename_dims(["time", "lat"])
+    assert cube.dims == ["time", "lat", "x"] and cube.chunks == {"time": 1} and {"i_time", "lat", "i_x"} <= set(cube.df.columns)
+    assert cleaning.apply_filter(cube.df, ["v"]).count() == 12
+    masked = cube.df.withColumn("filter_mask", F.col("i_x") == 0)
+    assert cleaning.apply_filter(masked, ["v"], ["i_time", "i_lat"], drop_sample=True).count() == 0
