@@ -85,12 +85,15 @@ def row_major(parts: list[tuple[Column, int]]) -> Column:
     return out
 
 
-def axis_labels(df: DataFrame, name: str) -> list:
-    """Sorted distinct labels of a column; the scan reads that column alone."""
-    rows = df.select(name).where(F.col(name).isNotNull()).distinct().limit(MAX_AXIS + 1).collect()
-    if len(rows) > MAX_AXIS:
-        raise ValueError(f"axis {name} has more than {MAX_AXIS} labels; use a coarser one")
-    return sorted(r[0] for r in rows)
+def axis_labels(df: DataFrame, names: list[str]) -> dict[str, list]:
+    """Sorted distinct labels of the columns, in one pass over those columns alone."""
+    if not names:
+        return {}
+    row = df.agg(*[F.collect_set(n).alias(n) for n in names]).first()
+    for n in names:
+        if len(row[n]) > MAX_AXIS:
+            raise ValueError(f"axis {n} has more than {MAX_AXIS} labels; use a coarser one")
+    return {n: sorted(row[n]) for n in names}
 
 
 def from_table(df: DataFrame, dims: dict[str, Column], values: dict[str, Column], axes: dict[str, Sequence] | None = None, chunks: dict[str, int] | None = None) -> Cube:
@@ -99,7 +102,8 @@ def from_table(df: DataFrame, dims: dict[str, Column], values: dict[str, Column]
     Rows are aggregated before axes meet them. Cells without rows exist and hold NULL: gap counts depend on that.
     """
     labelled = df.withColumns(dims)
-    labels = {d: list(axes[d]) if axes and d in axes else axis_labels(labelled, d) for d in dims}
+    found = axis_labels(labelled, [d for d in dims if d not in (axes or {})])
+    labels = {d: found[d] if d in found else list(axes[d]) for d in dims}
     seen = labelled.groupBy(*dims).agg(*[e.alias(n) for n, e in values.items()])
     seen = seen.withColumns({n: missing_to_null(F.col(n)) for n in values})
     empty = Cube(seen, labels, tuple(values), chunks or {})

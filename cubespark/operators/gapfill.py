@@ -138,7 +138,10 @@ def fill_gaps(cube: Cube, variable: str, layer_dim: str, layer: int, gaps: DataF
             yield pd.DataFrame({c: pdf[c] for c in keys}).assign(model=[f[0] for f in found], cv_error=[f[1] for f in found])
 
     spec = ", ".join([f"gap_size double, {', '.join(f'`g_{p}` bigint' for p in pixel)}", "model double, cv_error double"])
-    fitted = packed.mapInPandas(fit, spec)
+    # models take long and rows are few, so they are dealt out by number, not by size
+    spark = cube.df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fitted = packed.repartition(n, *keys).mapInPandas(fit, spec)
     near = renamed.join(known, "gap_size").withColumn("d2", _distance(pixel)).groupBy(*keys).agg(F.min_by("now", F.struct("d2", *pixel)).alias("near"))
     actual = target.select(*[F.col(p).alias(f"g_{p}") for p in pixel], F.col("now").alias("actual"))
     out = renamed.join(actual, [f"g_{p}" for p in pixel], "left").join(near, keys, "left").join(fitted, keys, "left")
