@@ -233,12 +233,13 @@ def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: int |
     """Pairs of a bucket's key groups that lie in two components and whose sizes and sketches allow a link.
 
     In a forest, a pair counts as linked as soon as it is put out, so that a group of many gives about one pair a member;
-    members are taken in the order of a hash of their ids and the forest's number, so that all key groups agree on the
-    hubs and another forest tries others. Pairs of small groups are compared once for all keys that they share.
+    members are taken in the order of a hash of their ids. In forest 0 all key groups agree on the hubs; in forest 1 each
+    bucket has its own, so that what the first hub was no match for meets as many others as there are buckets. Pairs of
+    small groups are compared once for all keys that they share.
     """
     ids = np.asarray(sketches.column("id"))
     n = np.asarray(sketches.column("size"))
-    hashed = np.argsort(mix64(ids.view(U) + U(0 if forest is None else forest)), kind="stable")
+    hashed = np.argsort(mix64(ids.view(U) + U((forest or 0) * (1 + int(groups.column("bucket")[0].as_py())))), kind="stable")
     place = np.empty(len(ids), np.int64)
     place[hashed] = np.arange(len(ids))
     by_id = np.argsort(ids)
@@ -342,12 +343,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = each.where("n > 0 and doc_id is not null").select("doc_id", "rep").distinct()
     groups = key_groups(out.where("bucket is not null").select("bucket", "keys", "owners")).join(of, "doc_id").select("key", "rep").distinct()
     groups = saved(groups.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "rep"), "groups")
+    # texts of one id stand for each other
+    several = each.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    several = saved(several, "several")
     roots, tried = None, None
     for forest in (0, 1, None):
-        pairs = open_pairs(groups, reps, roots, pair_buckets, top, forest)
+        # in the last round few groups are left; fewer buckets repeat a pair less often
+        pairs = open_pairs(groups, reps, roots, pair_buckets if forest is not None else max(4, pair_buckets // 4), top, forest)
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = linked(pairs, docs, id_col, text_col, top, width)
-        roots = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        roots = components(links.unionByName(several) if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         tried = pairs if tried is None else tried.unionByName(pairs)
     out = each.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
