@@ -58,6 +58,12 @@ def test_near_duplicates_of_all_sizes(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df).collect()} == want
 
 
+def test_texts_of_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    df = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b)], "doc_id long, text string")
+    assert {r["component_id"] for r in near.near_duplicates(df).collect()} == {3}
+
+
 def test_one_of_each_stays(spark, edge_docs, empty):
     kept = near.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
