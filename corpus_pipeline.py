@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import saved, table
+from cubespark.llm.common import BATCH_ROWS, saved, table
 from cubespark.llm.decontaminate import remove_contamination
 from cubespark.llm.near import keep_one
 from cubespark.llm.packing import pack_documents
@@ -13,6 +13,15 @@ from cubespark.llm.quality import score_quality
 from cubespark.llm.secrets import redact
 
 
+#: Rows that go to a Python worker at a time in all stages: texts pile up in the executor and in its workers.
+ROWS = "2000"
+
+
+def _lean(spark: SparkSession) -> None:
+    """Sets the session's batch size; it holds until the stage's result has been written, and after."""
+    spark.conf.set(BATCH_ROWS, ROWS)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars of the texts as they are now."""
     return docs.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else docs
@@ -20,26 +29,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
+    _lean(spark)
     return score_quality(docs).where("quality_score >= 0.5").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    _lean(spark)
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the benchmark's passages."""
+    _lean(spark)
     return _counted(remove_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose secrets are replaced by their kind."""
+    _lean(spark)
     return _counted(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
+    _lean(spark)
     return pack_documents(docs)
 
 

@@ -32,7 +32,7 @@ class WordTokenizer:
     with the strings of special tokens are encoded whole.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 250_000):
         self.path, self.memo = path, memo
         self._tok = None
 
@@ -205,8 +205,8 @@ def cut_pieces(docs: DataFrame, tokenizer: WordTokenizer, capacity: int, end_id:
     def run(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in ("at", "start", "length", "ids_crc32", "doc_tokens", "ids")}
         encode = _LOADED.setdefault(tokenizer.path, tokenizer)
-        for at in range(0, batch.num_rows, 512):
-            texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
+        for at in range(0, batch.num_rows, 256):
+            texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
             for i, ids in enumerate(encode(texts), at):
                 ids += end
                 for s in range(0, len(ids), 4 * capacity):

@@ -111,7 +111,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
             raw[i] = ("".join(out) + text[done:]).encode()
         return {n: raw if n == text_col else batch.column(j) for j, n in enumerate(names)}
 
-    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), slice_bytes=4 << 20)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
