@@ -32,7 +32,7 @@ class WordTokenizer:
     with the strings of special tokens are encoded whole.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 200_000):
         self.path, self.memo = path, memo
         self._tok = None
 
@@ -149,10 +149,6 @@ class WordTokenizer:
         return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
 
 
-#: Tokenizers by path, kept from task to task in a Python worker.
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """Packing patterns with their counts: lengths placed longest first, each in the shortest open packs that take it.
 
@@ -204,10 +200,9 @@ def cut_pieces(docs: DataFrame, tokenizer: WordTokenizer, capacity: int, end_id:
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in ("at", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        encode = _LOADED.setdefault(tokenizer.path, tokenizer)
         for at in range(0, batch.num_rows, 256):
             texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-            for i, ids in enumerate(encode(texts), at):
+            for i, ids in enumerate(tokenizer(texts), at):
                 ids += end
                 for s in range(0, len(ids), 4 * capacity):
                     piece = ids[s : s + 4 * capacity]
