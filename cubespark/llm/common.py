@@ -72,6 +72,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what the worker's last task held
         for batch in batches:
             for part in slices(batch, slice_bytes) if batch.num_rows else ():
                 if (out := fn(part)) is not None:
