@@ -1,8 +1,8 @@
 """Operator 10, personal data, in DataFrame functions only: pattern spans, and terms that disclose them.
 
-Besides the pattern kinds, terms near a found value are held against it: over all contexts of all values in the corpus,
-a term discloses a value when its pointwise mutual information with the value reaches a share of the value's
-information content. Such terms are removed, or generalised where the share is lower.
+Besides the pattern kinds, all terms of the texts that hold a found value are held against it: over all texts of the
+corpus, a term discloses a value when its pointwise mutual information with the value reaches a share of the value's
+information content. Such terms are removed wherever they occur, or generalised where the share is lower.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ PATTERNS = {
 #: A cheap sign without which a text cannot match.
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = (*PATTERNS, "term")
-TERM = r"(?<=[^\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]{3,}(?=[^\p{L}\p{N}_])"
+#: Stands for the word characters of a found span, so that no term reaches into one.
+HIDDEN = "\uffff"
+TERM = r"(?<=[^\p{L}\p{N}_\x{FFFF}])\p{L}[\p{L}\p{N}_]{3,}(?=[^\p{L}\p{N}_\x{FFFF}])"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+PLACES = "array<struct<term:string,start:int,end:int>>"
 SALTS = 16
 
 
@@ -78,48 +81,93 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _contexts(text: Column, spans: Column, window: int) -> Column:
-    """For each span, the terms at most window code points away that no span covers."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))  # text's place p is padded's 1-based place p + 2
+def _open_text(text: Column, base: Column) -> Column:
+    """The text between two blanks, code point for code point, with the word characters of its spans hidden."""
+    text = F.replace(text, F.lit(HIDDEN), F.lit(" "))
 
-    def near(s: Column) -> Column:
-        low = F.greatest(s["start"] - window, F.lit(-1))
-        left = spans_of(F.substring(padded, low + 2, s["start"] - low + 1), TERM, 4, low)
-        right = spans_of(F.substring(padded, s["end"] + 1, F.lit(window + 1)), TERM, 4, s["end"] - 1)
-        terms = F.concat(F.coalesce(left, F.array().cast(SPAN)), F.coalesce(right, F.array().cast(SPAN)))
-        free = F.filter(terms, lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (o["end"] > t["start"])))
-        return F.transform(free, lambda t: F.struct(F.lower(s["value"]).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    def step(a: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], a["at"])
+        gap, value = F.substring(text, a["at"] + 1, begin - a["at"]), F.substring(text, begin + 1, s["end"] - begin)
+        return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.regexp_replace(value, r"[\p{L}\p{N}_]", HIDDEN)).alias("out")))
+
+    done = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    hidden = F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    return F.concat(F.lit(" "), F.when(F.size(base) > 0, hidden).otherwise(text), F.lit(" "))
 
-    return F.flatten(F.transform(spans, near))
 
+def _places(padded: Column, maybe) -> Column:
+    """term, start and end of the terms of a text between blanks that may disclose; null where there is none."""
+    found, between = F.regexp_extract_all(padded, F.lit(TERM), F.lit(0)), F.split(padded, TERM, -1)
+    none = F.array().cast(PLACES)
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 48, remove_at: float = 0.9, generalise_at: float = 0.75, min_texts: int = 3) -> DataFrame:
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + F.char_length(x["gap"])
+        end = begin + F.char_length(x["found"])
+        place = F.struct(F.lower(x["found"]).alias("term"), begin.cast("int").alias("start"), end.cast("int").alias("end"))
+        return F.struct(end.cast("int").alias("at"), F.when(maybe(x["found"]), F.concat(a["places"], F.array(place))).otherwise(a["places"]).alias("places"))
+
+    pairs = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("found")), lambda x: F.struct(x["gap"].alias("gap"), x["found"].alias("found")))
+    start = F.struct(F.lit(-1).alias("at"), F.lit(None).cast(PLACES).alias("places"))  # the blank before the text
+    told = F.aggregate(pairs, start, lambda a, x: step(F.struct(a["at"].alias("at"), F.coalesce(a["places"], none).alias("places")), x))["places"]
+    return F.when(F.exists(found, maybe), told)
+
+
+def _term_filter(terms: DataFrame, max_bits: int = 23):
+    """A test of terms against a bitmap of at most 2^max_bits bits whatever their number; None if there are none."""
+    n = terms.count()
+    if not n:
+        return None
+    log = min(max_bits, max(13, (256 * n).bit_length()))
+    place = lambda t: F.xxhash64(F.lower(t)).bitwiseAND(F.lit((1 << log) - 1))
+    at = terms.select(place(F.col("term")).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    words = ["0"] * (1 << (log - 6))
+    for r in at.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r["word"]] = str(r["bits"])
+    bits = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")  # folded to a literal
+    return lambda t: F.getbit(F.get(bits, F.shiftright(place(t), 6).cast("int")), place(t).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def disclosing_terms(rows: DataFrame, remove_at: float, generalise_at: float, prior: float) -> DataFrame:
+    """term and action of all terms that disclose a value; rows holds text_hash, entities and terms of every text."""
+    texts = saved(rows.groupBy("text_hash").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-texts")
+    n = texts.count()
+    terms = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    told = texts.where(F.size("entities") > 0)
+    values = told.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = told.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    p = F.col("n_entity") / F.lit(max(n, 1))
+    share = 1 - F.log((F.col("n_both") + prior * p) / (F.col("n_term") + prior)) / F.nullif(F.log(p), F.lit(0.0))
+    # "remove" sorts after "generalise" and wins
+    action = F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")
+    found = both.join(values, "entity").join(terms, "term").withColumn("share", share).where(F.col("share") >= generalise_at)
+    return saved(found.groupBy("term").agg(F.max(action).alias("action")), "pii-terms")
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.9, generalise_at: float = 0.75, prior: float = 1.0) -> DataFrame:
     """id, base (pattern spans) and terms (disclosing terms: start, end, action) of every text.
 
-    Counts are of distinct texts, so copies of a text weigh once. p(value | term) >= p(value) ** (1 - share) is the same
-    as PMI >= share * IC(value). A null text is empty; repeated rows each come back with the same spans; a null id is
-    kept; other columns aren't read; an empty table gives no rows. Equal starts are ordered by kind.
+    Counts are of distinct whole texts, so copies of a text weigh once. p(value | term) >= p(value) ** (1 - share) is the
+    same as PMI >= share * IC(value); p(value | term) is smoothed by prior more texts with the term, that hold the value as
+    often as any text. A disclosing term is marked in every text, outside of pattern spans. A null text is empty; repeated
+    rows each come back with the same spans; a null id is kept; other columns aren't read; an empty table gives no rows.
+    Equal starts are ordered by kind.
     """
-    # two projections: the contexts are cut only where spans were found
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("base", base_spans(F.col("_text")))
-    rows = rows.select("doc_id", F.xxhash64("_text").alias("text_hash"), "base", F.when(F.size("base") > 0, _contexts(F.col("_text"), F.col("base"), window)).alias("near"))
-    rows = saved(rows, "pii")
-    near = rows.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("c")).select("doc_id", "text_hash", "c.*")
-    triples = near.select("entity", "term", "text_hash").distinct()
-    both = triples.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_texts)
-    terms = triples.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    values = triples.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = triples.agg(F.count_distinct("text_hash").alias("n"))
-    share = 1 - F.log(F.col("n_both") / F.col("n_term")) / F.nullif(F.log(F.col("n_entity") / F.col("n")), F.lit(0.0))
-    told = both.join(terms, "term").join(values, "entity").crossJoin(F.broadcast(total)).withColumn("share", share).where(F.col("share") >= generalise_at)
-    told = told.select("entity", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = near.withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int")).join(told, ["entity", "term", "salt"])
-    # one row a term place; "remove" sorts after "generalise" and wins
-    hits = hits.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("action").alias("action"))
-    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("base", base_spans(F.col("_text")))
+    texts = texts.select("doc_id", F.xxhash64("_text").alias("text_hash"), "base", _open_text(F.col("_text"), F.col("base")).alias("_open"))
+    lower = lambda words: F.array_distinct(F.transform(words, F.lower))
+    terms = lower(F.regexp_extract_all("_open", F.lit(TERM), F.lit(0)))
+    told = disclosing_terms(texts.select("text_hash", lower(F.col("base.value")).alias("entities"), terms.alias("terms")), remove_at, generalise_at, prior)
+    rows = saved(texts.select("doc_id", "text_hash", "base"), "pii")
+    none, maybe = F.array().cast("array<struct<start:int,end:int,action:string>>"), _term_filter(told)
+    if maybe is None:
+        return rows.select(F.col("doc_id").alias(id_col), "base", none.alias("terms"))
+    places = texts.select("doc_id", "text_hash", F.explode(_places(F.col("_open"), maybe)).alias("p")).select("doc_id", "text_hash", "p.*")
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = places.withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int")).join(told, ["term", "salt"])
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     hits = hits.select(key.alias("_key"), "text_hash", "terms")
-    return rows.withColumn("_key", key).join(hits, ["_key", "text_hash"], "left").select(F.col("doc_id").alias(id_col), "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
+    return rows.withColumn("_key", key).join(hits, ["_key", "text_hash"], "left").select(F.col("doc_id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

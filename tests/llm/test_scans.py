@@ -92,6 +92,16 @@ def test_disclosing_terms(spark, edge_docs, empty):
     assert pii.find_personal_data(edge_docs).count() == edge_docs.count() and pii.find_personal_data(empty).count() == 0
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    """Terms far from the value, or in a text without it, are marked; what is common elsewhere is not; rare values count."""
+    far = "and so on it went " * 12
+    rows = [(i, f"Greenkeeper told {far} as sam@club.org {i}") for i in range(3)] + [(3, f"only the greenkeeper {far} here"), (4, "mail ann@rare.org to the zymurgist, cafébob@rare.org")]
+    rows += [(10 + i, f"plain words told {i} {far}") for i in range(400)]
+    found = {r["doc_id"]: {(dict(rows)[r["doc_id"]][t["start"] : t["end"]]) for t in r["terms"]} for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == {"Greenkeeper"} for i in range(3)) and found[3] == {"greenkeeper"}
+    assert found[4] == {"mail", "zymurgist"} and not any(found[10 + i] for i in range(400))
+
+
 def plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen = {}
