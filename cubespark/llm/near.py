@@ -4,6 +4,7 @@ Each shingle toggles one bit of a document's sketch (XOR), so the Hamming distan
 the sets' symmetric difference D. Jaccard t means D <= (1 - t) / (1 + t) * (|A| + |B|). In a size band the sketch has so
 many segments that more of them hold a bit than can differ; by the pigeonhole principle a linked pair then agrees in one of
 the first D + 1 non-empty segments of either in any common order. Fuller segments come first: they are the most telling.
+A set with no more than D non-empty segments adds its first D + 1 shingles in a common order as keys of their own.
 """
 
 from __future__ import annotations
@@ -85,7 +86,11 @@ def keys(s: np.ndarray, top: int = 75) -> np.ndarray:
         code = mix64(np.bitwise_xor.reduceat(mix64(s ^ U(0x2545F4914F6CDD1D)), start) ^ mix64(seg[start] + U(band << 40)))
         size = np.diff(np.append(start, n))
         order = (U(255) - np.minimum(size, 255).astype(U)) << U(56) | code >> U(8)
-        if len(code) > differ + 1:
+        if len(code) <= differ:  # all may differ: the first shingles of a common order can't, and a partner that shares no segment emits them too
+            first = mix64(s ^ U(0x9FB21C651E98DF25))
+            first = np.partition(first, differ)[: differ + 1] if n > differ + 1 else first
+            code = np.concatenate((code, mix64(first ^ U((band << 40) + 1))))
+        elif len(code) > differ + 1:
             code = code[np.argpartition(order, differ)[: differ + 1]]
         out.append(code)
     return np.concatenate(out)

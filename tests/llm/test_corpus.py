@@ -58,6 +58,16 @@ def test_near_duplicates_of_all_sizes(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df).collect()} == want
 
 
+def test_small_sets_share_a_key():
+    """All shingles in one segment of the sketch, and random linked pairs of few shingles."""
+    rng = np.random.default_rng(3)
+    pairs = [(np.array([1, 2, 3], np.uint64), np.array([1, 2, 3, 4], np.uint64))]
+    for n in [3] * 3000 + [4, 6, 9] * 200:
+        b = np.unique(rng.integers(0, 1 << 63, n + 1).astype(np.uint64) << np.uint64(1))
+        pairs.append((np.delete(b, rng.integers(len(b))), b))
+    assert all(np.intersect1d(near.keys(a), near.keys(b)).size for a, b in pairs)
+
+
 def test_texts_of_one_id(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     df = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b)], "doc_id long, text string")
