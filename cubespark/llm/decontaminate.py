@@ -113,13 +113,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """id, n_words, spans (merged removal spans in words), items (sorted) of every text.
 
     Phrases go to all executors; a benchmark of more than max_benchmark_bytes is taken in so many parts that each stays
-    under it, and the parts' spans are merged by row. A null text has no words; a null item id is an item of its own;
-    repeated rows give a row each (with one part) or one row for all (with more); an empty benchmark hits nothing.
+    under it, and the parts' spans are merged by row, by a key written with the texts. A null text has no words; a null item
+    id is an item of its own; repeated rows give a row each; an empty benchmark hits nothing.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = -(-total // max_benchmark_bytes) or 1
+    docs = docs.select(id_col, text_col)
+    if parts > 1:
+        docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    key = ", _row bigint" if parts > 1 else ""
     out = None
     for part in range(parts):
         picked = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else rows
@@ -132,13 +136,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 got["n_words"] += n
                 got["spans"] += [[] if h is None else [{"start": a, "end": b} for a, b in spans_of(h)] for h in hits]
                 got["items"] += [sorted(x, key=lambda i: (i is None, i)) for x in items]
-            return {id_col: batch.column(0)} | got
+            return {id_col: batch.column(0)} | got | ({"_row": batch.column(2)} if key else {})
 
-        one = arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>")
+        one = arrow_map(docs, run, f"`{id_col}` {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>{key}")
         out = one if out is None else out.unionByName(one)
     if parts == 1:
         return out
-    merged = saved(out, "spans").groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = saved(out, "spans").groupBy("_row").agg(F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("_row")
 
     def join(batch: pa.RecordBatch) -> dict:
         spans = []

@@ -129,6 +129,16 @@ def test_benchmark_in_parts(spark, folder, edge_docs, empty):
     assert decontaminate.find_contamination(empty, bench).count() == 0
 
 
+def test_rows_of_one_id_in_parts(spark):
+    """Texts that share an id, or have none, come back one by one whatever the benchmark's size."""
+    words = [f"word{k}" for k in range(40)]
+    bench = spark.createDataFrame([(k, " ".join(words[k : k + 10])) for k in range(0, 40, 5)], "item_id long, text string")
+    rows = [(1, " ".join(words[:20])), (1, "none of them " * 9), (None, " ".join(words[10:30])), (None, "short"), (2, "twice"), (2, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda **k: sorted(map(str, decontaminate.find_contamination(df, bench, **k).collect()))
+    assert len(told()) == 6 and told(max_benchmark_bytes=300) == told()
+
+
 def test_spans_removed(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     df = spark.createDataFrame([(1, "Keep. Alpha, BETA gamma-delta! End", 7), (2, None, 7), (3, "alpha beta gamma", 7)], "doc_id long, text string, items int")
