@@ -79,6 +79,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
             if batch.nbytes > 1 << 20:
                 release()
+        release()  # the worker waits for its next task with as little as it can
 
     return df.mapInArrow(run, schema)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,14 @@ from pyspark.sql import functions as F
 
 from cubespark.llm.common import arrow_map, saved, table
 
-#: Texts of code points below this take the vectorised path, others the tokenizer's own.
-LATIN = 0x250
+#: Texts of code points below this take the vectorised path if their lower case stays below the other, others the tokenizer's own.
+LATIN, LOWERED = 0x250, 0x370
+#: Texts are tokenized in blocks of at most so many code points (a longer text is a block of its own).
+BLOCK_CHARS = 1 << 19
 #: Longer pre-tokens are encoded by themselves.
 LONG = 64
+#: Counts that one length's ranks are added up from.
+MAX_BUCKETS = 1 << 14
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
 #: What may follow an apostrophe in a pre-token of its own.
 CLITICS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -28,24 +34,21 @@ class WordTokenizer:
     """Ids of a word-level byte-pair tokenizer, each distinct pre-token encoded once a block.
 
     The tokenizer merges inside pre-tokens only, so a text's ids are its pre-tokens' ids in turn. Pre-tokens are found and
-    hashed for a block of texts at once; ids of those seen lately are kept in flat arrays. Texts with other scripts or
-    with the strings of special tokens are encoded whole.
+    hashed for a block of texts at once; ids of those seen lately are kept in flat arrays. Texts with other scripts (before
+    or after lower-casing) or with the strings of special tokens are encoded whole. The library runs in one thread.
     """
 
     def __init__(self, path: str, memo: int = 200_000):
-        self.path, self.memo = path, memo
-        self._tok = None
-
-    def _load(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each thread of the library would hold memory of its own
         from tokenizers import Tokenizer
 
-        self._tok = Tokenizer.from_file(self.path)
+        self.memo = memo
+        self._tok = Tokenizer.from_file(path)
         kind = {"L": LETTER, "N": NUMBER}
-        self._class = np.array([SPACE if 9 <= c <= 13 or c in (0x20, 0x85, 0xA0) else kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LATIN)], np.uint8)
-        # lower-casing can give a combining dot above, which is no letter
-        self._class = np.append(self._class, np.full(0x400 - LATIN, OTHER, np.uint8))
+        self._class = np.array([SPACE if 9 <= c <= 13 or c in (0x20, 0x85, 0xA0) else kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LOWERED)], np.uint8)
         self._plain = re.compile(f"[\\x00-\\u{LATIN - 1:04x}]*").fullmatch
-        self._code = np.random.default_rng(7).integers(0, 1 << 63, (LONG, 0x400), np.int64).astype(np.uint64)
+        self._low = re.compile(f"[\\x00-\\u{LOWERED - 1:04x}]*").fullmatch
+        self._code = np.random.default_rng(7).integers(0, 1 << 63, (LONG, LOWERED), np.int64).astype(np.uint64)
         vocabulary = self._tok.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -55,9 +58,6 @@ class WordTokenizer:
         """Known pre-tokens, by hash: how many ids each has, where they begin, and the ids."""
         self._hash, self._size, self._from, self._ids = hashes, sizes, np.cumsum(sizes) - sizes, ids
 
-    def __getstate__(self):
-        return {"path": self.path, "memo": self.memo, "_tok": None}
-
     def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pre-tokens in the order taken (by number), how many ids each has, and the ids.
 
@@ -102,17 +102,15 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if self._tok is None:
-            self._load()
         lowered, whole = [], {}
         for i, text in enumerate(texts):
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text)
-            if "<|" in text or not (text.isascii() or self._plain(text)):
+            low = text.lower()
+            if "<|" in text or not (text.isascii() or self._plain(text) and self._low(low)):
                 whole[i] = np.array(self._tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-                lowered.append("")
-            else:
-                lowered.append(text.lower())
+                low = ""
+            lowered.append(low)
         joined = "\n".join(lowered) + "\n"
         c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         start, end = self._starts(c, self._class[c])
@@ -149,6 +147,24 @@ class WordTokenizer:
         return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
 
 
+@lru_cache(1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker's tokenizer: loaded once, whatever the number of its tasks."""
+    return WordTokenizer(path)
+
+
+def _blocks(texts: list[str], rows: int = 256):
+    """First numbers and runs of texts of at most rows texts and BLOCK_CHARS code points."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and to < at + rows and (to == at or size + len(texts[to]) <= BLOCK_CHARS):
+            size += len(texts[to])
+            to += 1
+        yield at, texts[at:to]
+        at = to
+
+
 def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """Packing patterns with their counts: lengths placed longest first, each in the shortest open packs that take it.
 
@@ -194,14 +210,17 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
     return {"length": a[:, 0], "rank": a[:, 1], "sequence": a[:, 2], "offset": a[:, 3]}
 
 
-def cut_pieces(docs: DataFrame, tokenizer: WordTokenizer, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Pieces of at most capacity ids of every document, whose ids end in end_id."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Pieces of at most capacity ids of every document, whose ids end in end_id.
+
+    A null or empty text is its end id alone; a null id is kept; repeated rows are cut each; an empty table gives no rows.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {n: [] for n in ("at", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        for at in range(0, batch.num_rows, 256):
-            texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
+        tokenizer = tokenizer_of(tokenizer_path)
+        for at, texts in _blocks([t or "" for t in batch.column(1).to_pylist()]):
             for i, ids in enumerate(tokenizer(texts), at):
                 ids += end
                 for s in range(0, len(ids), 4 * capacity):
@@ -223,11 +242,12 @@ def pack_pieces(pieces: DataFrame, capacity: int, rows_a_bucket: int = 50_000) -
     """Adds sequence_id and offset. pieces must be a written table: ranks are taken from it twice.
 
     Ranks within a length come from counts of (length, bucket) plus a rank inside the bucket, so that a length shared by
-    a third of all pieces is dealt over many tasks. Only the histogram, at most capacity rows, goes to the driver.
+    a third of all pieces is dealt over many tasks. Only the histogram, at most capacity rows, goes to the driver; a
+    length has at most MAX_BUCKETS counts, whatever the number of pieces. A null id ranks first; an empty table gives none.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = max(1, -(-sum(histogram.values()) // rows_a_bucket)) * 8
+    buckets = min(max(1, -(-sum(histogram.values()) // rows_a_bucket)) * 8, MAX_BUCKETS)
     plan = spark.sparkContext.broadcast(slots(plan_packs(histogram, capacity)))
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
@@ -256,8 +276,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    pieces = cut_pieces(docs, WordTokenizer(str(tokenizer_path)), capacity, end_id, id_col, text_col, keep_ids)
-    return pack_pieces(saved(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity)
+    pieces = cut_pieces(docs, str(tokenizer_path), capacity, end_id, id_col, text_col, keep_ids)
+    return pack_pieces(saved(pieces if keep_ids else pieces.drop("ids"), "pieces", batch_rows=2000), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

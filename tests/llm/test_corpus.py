@@ -177,6 +177,20 @@ def test_tokens_like_the_library():
         assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokens_of_all_latin_letters():
+    """Every code point up to U+024F in several contexts, and random mixes with other scripts: lower case may leave the table."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    plain, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = [t for x in map(chr, range(0x250)) for t in (f"ab{x}cd", f"a'{x}b", x, f"{x}{x}1{x}s", f" {x} 's{x} '{x}s")]
+    rng = np.random.default_rng(5)
+    pool = np.array([*map(chr, range(1, 0x250)), *[" ", "'", "s", "t", "re", "\n", "a", "1"] * 40, "日", "Σ", "\u0301", "\u0307", "\u212a"], object)
+    texts += ["".join(rng.choice(pool, rng.integers(1, 30))) for _ in range(3000)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark, folder, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
