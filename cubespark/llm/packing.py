@@ -166,31 +166,39 @@ def _blocks(texts: list[str], rows: int = 256):
 
 
 def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Packing patterns with their counts: lengths placed longest first, each in the shortest open packs that take it.
+    """Packing patterns with their counts: lengths placed longest first, each in the shortest open pack that takes it.
 
-    Works on counts: its time depends on the number of distinct lengths (at most capacity), not on that of pieces.
+    Works on counts: its time depends on the number of distinct lengths (at most capacity), not on that of pieces; the
+    packs' sizes are those of placing the pieces one by one.
     """
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     shortest = capacity + 1
+
+    def add(count: int, pattern: tuple[int, ...]) -> None:
+        nonlocal shortest
+        size = sum(pattern)
+        open_packs[size].append((count, pattern))
+        shortest = min(shortest, size)
+
     for length in sorted((x for x, n in histogram.items() if n), reverse=True):
-        left, placed = histogram[length], []
+        left = histogram[length]
         while left:
             while shortest <= capacity and not open_packs.get(shortest):
                 shortest += 1
-            if shortest + length > capacity:
-                placed.append((left, (length,)))
+            if shortest + length > capacity:  # new packs: each is the shortest until it is full
+                fit = capacity // length
+                if left >= fit:
+                    add(left // fit, (length,) * fit)
+                if left % fit:
+                    add(1, (length,) * (left % fit))
                 left = 0
             else:
                 count, pattern = open_packs[shortest].pop()
                 used = min(left, count)
                 if count > used:
                     open_packs[shortest].append((count - used, pattern))
-                placed.append((used, (*pattern, length)))
+                add(used, (*pattern, length))
                 left -= used
-        for count, pattern in placed:
-            size = sum(pattern)
-            open_packs[size].append((count, pattern))
-            shortest = min(shortest, size)
     return [x for size in sorted(open_packs) for x in open_packs[size]]
 
 

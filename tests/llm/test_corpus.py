@@ -191,6 +191,21 @@ def test_tokens_of_all_latin_letters():
     assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_plan_packs_takes_the_shortest(lengths):
+    """Sizes of the packs are those of placing pieces one by one, longest first, each in the shortest pack that takes it."""
+    packs = []
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, p in enumerate(packs) if sum(p) + x <= 40]
+        if fits:
+            packs[min(fits, key=lambda k: sum(packs[k]))].append(x)
+        else:
+            packs.append([x])
+    plan = packing.plan_packs({x: lengths.count(x) for x in lengths}, 40)
+    assert sorted(sum(p) for n, p in plan for _ in range(n)) == sorted(map(sum, packs))
+
+
 def test_packing(spark, folder, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
