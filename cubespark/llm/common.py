@@ -39,7 +39,7 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def saved(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so a lost executor costs nothing already done.
 
-    batch_rows holds for this write only: fewer rows at a time take less memory in the executor and its workers.
+    discard() deletes the table once nothing that is still to run reads it. batch_rows holds for this write only: fewer rows at a time take less memory in the executor and its workers.
     """
     spark = df.sparkSession
     path, before = fresh_path(spark, name), spark.conf.get(BATCH_ROWS)
@@ -49,7 +49,25 @@ def saved(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of saved(); others, and None, are passed over."""
+    for df in tables:
+        if (path := getattr(df, "__dict__", {}).get("saved_path")) is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many underscores after it as it takes for no column to begin with it (names fold case)."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
 
 
 def crc_mod(id_col: Column, n: int) -> Column:
@@ -57,6 +75,13 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def hashed_share(df: DataFrame, share: float, *columns: str) -> DataFrame:
+    """The rows whose hash of the columns falls into a share of all hashes; the same rows whatever their layout."""
+    if share >= 1:
+        return df
+    return df.where(F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(max(1, int(share * (1 << 63)))))
+
+
 def slices(batch: pa.RecordBatch, size: int | None) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about size bytes."""
     rows = batch.num_rows if size is None else max(1, int(batch.num_rows * min(1.0, size / max(batch.nbytes, 1))))

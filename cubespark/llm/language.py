@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import arrow_map, crc_mod, table, text_bytes
+from cubespark.llm.common import arrow_map, crc_mod, hashed_share, table, text_bytes
 
 #: First code points of script blocks, from the Unicode standard.
 SCRIPTS = (
@@ -25,30 +25,39 @@ DISALLOWED = -60.0
 
 
 @lru_cache(1)
-def script_table() -> np.ndarray:
-    """Script number of each code point of the basic plane, 0 for what is no letter."""
-    letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)), bool, 0x10000)
+def script_table() -> tuple[np.ndarray, np.ndarray]:
+    """Script number of each code point, 0 for what is neither letter nor mark; and whether it is a letter."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    letter = np.fromiter((k == "L" for k in kinds), bool, len(kinds))
+    mark = np.fromiter((k == "M" for k in kinds), bool, len(kinds))
     starts = np.array([s for s, _ in SCRIPTS])
     numbers = np.array([0, *(NAMES.index(n) for _, n in SCRIPTS)], np.uint8)
-    return np.where(letters, numbers[np.searchsorted(starts, np.arange(0x10000), side="right")], 0).astype(np.uint8)
+    script = numbers[np.searchsorted(starts, np.arange(len(kinds)), side="right")]
+    script[0x10000:] = NAMES.index("other")
+    script[0x20000:0x33480] = NAMES.index("han")
+    return np.where(letter | mark, script, 0).astype(np.uint8), letter
 
 
 def letters_of(texts: list[str]):
     """Letters of the joined, lower-cased texts: place, text number, trigram code, script, and starts of words among them.
 
-    Words are runs of letters. Lower-casing is per character where it keeps the length, so places stay those of the texts.
+    Words are runs of letters and their marks; marks without a letter are none. Lower-casing is per character where it
+    keeps the length, so places stay those of the texts.
     """
     lowered = [low if len(low := t.lower()) == len(t) else "".join(c.lower()[:1] for c in t) for t in texts]
     joined = "\n" + "\n".join(lowered) + "\n"
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    script = script_table()[np.minimum(c, 0xFFFF)]
-    script[c > 0xFFFF] = NAMES.index("other")
-    script[(c >= 0x20000) & (c < 0x33480)] = NAMES.index("han")
+    scripts, letter = script_table()
+    script = scripts[c]
     at = np.flatnonzero(script)
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
+    if len(at) and not (has := np.logical_or.reduceat(letter[c[at]], starts)).all():
+        size = np.diff(np.append(starts, len(at)))
+        at, size = at[np.repeat(has, size)], size[has]
+        starts = np.cumsum(size) - size
     folded = np.where(script > 0, c, 32)
     a, b, d = folded[at - 1], folded[at], folded[at + 1]
     code = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) * np.uint32(5) ^ d * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - BITS)
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
     begins = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
     doc = np.searchsorted(begins, at[starts], side="right") - 1 if len(at) else np.zeros(0, np.int64)
     return at, code, script[at], starts, doc, begins
@@ -94,8 +103,9 @@ def viterbi(score: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def label_words(doc: np.ndarray, score: np.ndarray, penalty: float) -> np.ndarray:
-    """Viterbi labels of all texts' words. A text needs the search only if some language gains more than the penalty over
-    the text's best language in a run of words; else no change of language can pay, and one label is the optimum."""
+    """Viterbi labels of all texts' words. A text needs the search only if some language gains more than half the penalty
+    over the text's best language in a run of words: a path of m changes has at most m + 1 runs that gain, and m + 1 <= 2 m.
+    Else no change of language can pay, and one label is the optimum."""
     n = len(doc)
     if not n:
         return doc
@@ -116,17 +126,20 @@ def label_words(doc: np.ndarray, score: np.ndarray, penalty: float) -> np.ndarra
         floor = np.minimum.accumulate(low - number * step) + number * step
         gain = np.maximum(gain, np.maximum.reduceat(run - floor, starts))
     ends = np.append(starts[1:], n)
-    for i in np.flatnonzero(gain > penalty - 1e-6).tolist():
+    for i in np.flatnonzero(gain > penalty / 2 - 1e-6).tolist():
         labels[starts[i] : ends[i]] = viterbi(score[starts[i] : ends[i]], penalty)
     return labels
 
 
-def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000) -> LanguageModel:
-    """Trigram and script counts of each language, from about max_rows labelled rows picked by a hash of the text (the
-    documented bound); the counts that reach the driver are at most 2^16 a language."""
-    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    share = min(1.0, max_rows / max(docs.count(), 1))
-    docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000) -> LanguageModel:
+    """Trigram and script counts of each language, from about max_rows labelled rows picked by a hash of the id and text
+    (the documented bound); the counts that reach the driver are at most 2^16 a language.
+
+    Rows with a null text or label are left out; repeated rows count each; an empty table gives a model of no languages.
+    """
+    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    n = docs.count()
+    docs = hashed_share(docs, min(1.0, max_rows / max(n, 1)), "id", "text").select("lang", "text")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {"lang": [], "code": [], "n": []}
@@ -142,6 +155,8 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         return {"lang": out["lang"], "code": np.concatenate(out["code"]), "n": np.concatenate(out["n"])}
 
     rows = arrow_map(docs, run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n")).toPandas()
+    if n and not len(rows):
+        raise RuntimeError("the sample of labelled texts is empty or holds no letter")
     langs = sorted(rows["lang"])
     counts = np.zeros((len(langs), (1 << BITS) + len(NAMES)))
     for lang, code, n in zip(rows["lang"], rows["code"], rows["n"], strict=True):

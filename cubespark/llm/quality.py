@@ -9,10 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import arrow_map, table, text_bytes
+from cubespark.llm.common import arrow_map, hashed_share, table, text_bytes, unused
 from cubespark.llm.rules import SPACES, features
 
 DIM = 4096
+#: Common English insults; texts in other languages borrow some. Two in one text are a sign of toxic text.
+INSULTS = frozenset(
+    b"asshole bastard bitch clown coward creep cretin degenerate dimwit disgusting dumb dumbass fool garbage idiot idiotic idiots imbecile jerk liar loser losers "
+    b"lowlife moron moronic morons nitwit pathetic pig retard scum scumbag stupid trash ugly vermin worthless".split()
+)
 #: 0 says bad, 1 good, -1 abstains. Most know one kind of bad text and abstain on all others.
 LABELLERS = {
     "symbols": lambda m: 0 if m["symbols"] > 0.3 else -1,
@@ -21,11 +26,14 @@ LABELLERS = {
     "repeats": lambda m: 0 if m["repeats"] > 0.6 and m["n_words"] >= 20 else -1,
     "lines": lambda m: 0 if m["same_lines"] > 0.5 and m["n_words"] >= 20 else -1,
     "digits": lambda m: 0 if m["digits"] > 0.5 else -1,
+    "insults": lambda m: 0 if m["insults"] >= 0.2 else -1,
     "variety": lambda m: (0 if m["variety"] < 0.2 and m["n_words"] >= 20 else 1 if m["variety"] > 0.6 else -1),
     "word_length": lambda m: (0 if not 2 <= m["word_length"] <= 12 and m["n_words"] >= 20 else 1 if 3 <= m["word_length"] <= 7 else -1),
 }
 #: Byte classes: letters are a or A (bytes over 127 count as a), digits 0, white space one blank; other characters stay.
 CLASSES = bytes(32 if c in SPACES else 97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in range(256))
+#: Letters in lower case; every other byte parts words.
+LETTERS = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
 
 def measures(text: bytes) -> dict[str, float]:
@@ -34,9 +42,12 @@ def measures(text: bytes) -> dict[str, float]:
     upper = size_of(text, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     digits = size_of(text, b"0123456789")
     lines = sum(1 for x in text.split(b"\n") if x.strip())
+    words = set(text.lower().split())
+    # an insult may stand beside punctuation
+    insults = sum(1 for w in text.lower().translate(LETTERS).split() if w in INSULTS) if words else 0
     return {
         "n_words": n_words, "symbols": symbols / n, "capitals": upper / size, "shouts": text.count(b"!") / n, "repeats": repeats / n,
-        "variety": len(set(text.lower().split())) / n ** 0.9, "same_lines": dup_lines / max(lines, 1), "word_length": chars / n, "digits": digits / size,
+        "variety": len(words) / n ** 0.9, "insults": min(insults, 2) / 10, "same_lines": dup_lines / max(lines, 1), "word_length": chars / n, "digits": digits / size,
     }
 
 
@@ -72,7 +83,7 @@ def vector(text: bytes, m: dict[str, float]) -> np.ndarray:
     return x
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, max_false: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, max_false: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns: each pattern's posterior of good, and P(vote | class) of each labeller
     (classes bad and good; votes abstain, bad and good).
 
@@ -112,7 +123,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 8.0
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> tuple[np.ndarray, float, dict[str, np.ndarray]]:
     """Weights, bias and the labellers' estimates. The accuracies come from all rows; the scorer is fitted on about
-    max_rows of them, picked by a hash of the id (the documented bound)."""
+    max_rows of them, picked by a hash of the id and text (the documented bound).
+
+    A null or empty text takes part without words; repeated rows weigh each; a null id is hashed with its text; an empty
+    table gives weights of zero and no estimates.
+    """
 
     def cast(batch: pa.RecordBatch) -> dict:
         return {"code": [votes(measures(t or b"")) for t in text_bytes(batch.column(0))]}
@@ -135,25 +150,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_row
             out["x"].append(x[at].tobytes())
         return out
 
-    picked = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(text_col)
-    rows = arrow_map(picked, sample, "code bigint, at binary, x binary").collect()
+    rows = arrow_map(hashed_share(docs, share, id_col, text_col).select(text_col), sample, "code bigint, at binary, x binary").collect()
+    if not rows:
+        raise RuntimeError("the sample that the scorer is fitted on is empty")
     x = np.zeros((len(rows), DIM), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], np.float32)
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
-    w, b = fit_linear(x, np.array([posterior[r["code"]] for r in rows], np.float32)) if rows else (np.zeros(DIM, np.float32), 0.0)
+    w, b = fit_linear(x, np.array([posterior[r["code"]] for r in rows], np.float32))
     return w, b, dict(zip(LABELLERS, given, strict=True))
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> DataFrame:
-    """All columns of docs, and quality_score, the scorer's probability (0 to 1) that the text is good.
+    """All columns of docs, and as the last one quality_score, the scorer's probability (0 to 1) that the text is good.
 
     A null or empty text, or one without a word, scores 0. Each row is scored, repeated rows alike. An empty table gives
-    no rows. A column of docs named quality_score is replaced.
+    no rows. Where columns of docs begin with that name, underscores are added to the score's.
     """
     w, b, _ = fit(docs, id_col, text_col, max_rows)
-    docs = docs.drop("quality_score")
-    names, at = docs.columns, docs.columns.index(text_col)
+    names, at, score = docs.columns, docs.columns.index(text_col), unused(docs.columns, "quality_score")
 
     def run(batch: pa.RecordBatch) -> dict:
         scores = []
@@ -163,9 +178,9 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             z = float(vector(t, measures(t)) @ w) + b
             scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-        return {n: batch.column(i) for i, n in enumerate(names)} | {"quality_score": scores}
+        return {n: batch.column(i) for i, n in enumerate(names)} | {score: scores}
 
-    return arrow_map(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "quality_score double"]))
+    return arrow_map(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,17 +86,39 @@ def test_scores_of_odd_tables(spark, edge_docs, empty):
 def test_quality_against_labels(spark):
     d = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r["kept"] for r in quality.op3_quality_classifier(spark, d).collect()}
-    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
-    good, bad = [got[i] for i, q in labels if q], [got[i] for i, q in labels if not q]
+    labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
+    good, bad = [got[i] for i, q, toxic in labels if q and not toxic], [got[i] for i, q, _ in labels if not q]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
+def test_toxic_texts_go(spark):
+    """Texts with two insults go and clean ones stay; texts labelled toxic without an insult are beyond the labeller."""
+    d = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["kept"] for r in quality.op3_quality_classifier(spark, d).collect()}
+    texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{d}/labels.parquet").collect()
+    toxic = [r["doc_id"] for r in labels if r["toxic"] and quality.measures(texts[r["doc_id"]])["insults"] >= 0.2]
+    assert len(toxic) > 5 and not any(got[i] for i in toxic)
+    assert np.mean([got[r["doc_id"]] for r in labels if r["quality"] and not r["toxic"]]) > 0.98
+
+
+def test_small_samples_agree_with_large_ones(spark):
+    """What a bound on the sample leaves is never empty, and decides as the whole does."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    few, many = ([r["quality_score"] >= 0.5 for r in quality.score_quality(docs, max_rows=n).orderBy("doc_id").collect()] for n in (300, 4000))
+    assert np.mean(np.array(few) == np.array(many)) > 0.95
+    model = language.fit_languages(docs, max_rows=100)
+    got = language.label_languages(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
+
+
 def test_estimate_finds_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(20_000) < 0.7
-    hit = np.array([0.6, 0.5, 0.4, 0.3, 0.3, 0.2, 0.5, 0.5])
-    votes = np.where(~y[:, None] & (rng.random((20_000, 8)) < hit), 0, -1)
-    code = ((votes + 1) * 3 ** np.arange(7, -1, -1)).sum(axis=1)
+    hit = np.array([0.6, 0.5, 0.4, 0.3, 0.3, 0.2, 0.4, 0.5, 0.5])
+    votes = np.where(~y[:, None] & (rng.random((20_000, 9)) < hit), 0, -1)
+    code = ((votes + 1) * 3 ** np.arange(8, -1, -1)).sum(axis=1)
     codes, counts = np.unique(code, return_counts=True)
     good, given = quality.estimate(codes, counts.astype(float))
     assert given[:, 0, 1] == pytest.approx(hit, abs=0.1)
@@ -108,6 +130,8 @@ def test_quality_edges(spark, edge_docs, empty):
     assert out[900001] == out[900002] == out[900003] == 0.0
     assert quality.score_quality(empty).count() == 0
     assert quality.score_quality(edge_docs).columns == [*edge_docs.columns, "quality_score"]
+    own = edge_docs.withColumn("Quality_Score", F.lit("mine"))
+    assert {r["Quality_Score"] for r in quality.score_quality(own).collect()} == {"mine"}
 
 
 def test_language_held_out(spark, folder):
@@ -154,6 +178,20 @@ def test_mixed_text_has_spans(spark):
     assert [s["lang"] for s in r["spans"]] == ["en", "de"] and text[r["spans"][1]["start"] :].startswith("Die katze")
 
 
+def test_texts_without_a_letter(spark):
+    model = language.LanguageModel(["de", "en"], np.ones((2, 1 << 16)), np.ones((2, len(language.NAMES))))
+    texts = ["😀😀", "\u0301\u0300", "😀 123", "½ ²", "𝟙𝟚", "a", "𐍈", "é", "e\u0301 \u0301"]
+    got = language.label_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in got] == [True] * 5 + [False] * 4
+    assert [(s["start"], s["end"]) for s in got[8]["spans"]] == [(0, 2)]
+
+
+def test_two_changes_pay_together():
+    """A gains 13.5 over B in the first half, C in the second: neither alone is worth a change from B, both are."""
+    score = np.array([[13.5, 0, -18]] + [[-18, 0, 13.5]])
+    assert language.label_words(np.zeros(2, np.int64), score, 16.0).tolist() == [0, 2]
+
+
 def test_no_languages_learnt(spark, edge_docs, empty):
     model = language.fit_languages(empty)
     assert {r["lang_pred"] for r in language.label_languages(edge_docs, model).collect()} == {"und"}
