@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import arrow_map, saved, table, text_bytes
+from cubespark.llm.common import arrow_map, saved, table, text_bytes, unused
 from cubespark.llm.fmindex import FMIndex
 
 #: Letters A-Z fold, digits, letters and bytes over 127 stay, all other bytes part words.
@@ -25,23 +25,38 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Phrases:
-    """Distinct windows of the benchmark by length, each with the items that hold it."""
+    """Distinct windows of the benchmark by length, each with the items that hold it: those of window w of a length are
+    names[i] for i in held[length][first[length][w] : first[length][w + 1]]."""
 
     symbol: dict[bytes, int]
+    names: list[int | None]
     windows: dict[int, np.ndarray]
-    items: dict[int, list[tuple[int, ...]]]
+    first: dict[int, np.ndarray]
+    held: dict[int, np.ndarray]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes | None]], width: int) -> Phrases:
+    def of(cls, rows: list[tuple[int | None, bytes | None]], width: int) -> Phrases:
         symbol: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], set] = {}
+        number: dict[int | None, int] = {}
+        places: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item, text in rows:
-            w = tuple(symbol.setdefault(x, len(symbol) + 1) for x in words_of(text))
-            for i in range(max(len(w) - width, 0) + 1) if w else ():
-                held.setdefault(w[i : i + width], set()).add(item)
-        sizes = sorted({len(w) for w in held})
-        by = {n: sorted(w for w in held if len(w) == n) for n in sizes}
-        return cls(symbol, {n: np.array(by[n], np.int64) for n in sizes}, {n: [tuple(held[w]) for w in by[n]] for n in sizes})
+            s = np.array([symbol.setdefault(x, len(symbol) + 1) for x in words_of(text)], np.int32)
+            if len(s):
+                size = min(width, len(s))
+                at = np.lib.stride_tricks.sliding_window_view(s, size)
+                places.setdefault(size, []).append(at)
+                owners.setdefault(size, []).append(np.full(len(at), number.setdefault(item, len(number)), np.int64))
+        windows, first, held = {}, {}, {}
+        for size in sorted(places):
+            found, which = np.unique(np.concatenate(places[size]), axis=0, return_inverse=True)
+            pair = np.unique(which.reshape(-1) * len(number) + np.concatenate(owners[size]))
+            windows[size], held[size] = found.astype(np.int64), pair % len(number)
+            first[size] = np.searchsorted(pair // len(number), np.arange(len(found) + 1))
+        return cls(symbol, list(number), windows, first, held)
+
+    def items(self, size: int, window: int) -> list[int | None]:
+        return [self.names[i] for i in self.held[size][self.first[size][window] : self.first[size][window + 1]].tolist()]
 
 
 def find_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], list[np.ndarray | None], list[set]]:
@@ -85,7 +100,7 @@ def find_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], l
         doc = np.searchsorted(first, at, side="right") - 1
         pairs = np.unique(doc * len(windows) + which)
         for d, w in zip((pairs // len(windows)).tolist(), (pairs % len(windows)).tolist(), strict=True):
-            items[d].update(phrases.items[width][w])
+            items[d].update(phrases.items(width, w))
     hit = np.cumsum(change[:-1]) > 0
     for d in np.unique(np.searchsorted(first, np.flatnonzero(hit), side="right") - 1).tolist():
         hits[d] = hit[first[d] : first[d] + n[d]]
@@ -109,81 +124,99 @@ def _shards(texts: list, size: int):
         at = to
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 8 << 20, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[DataFrame]:
+    """The benchmark's (item, text) in parts of about most bytes each."""
+    rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = -(-(rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // most) or 1
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [rows]
+
+
+def _merged(hit: np.ndarray | None, spans: list[dict], n: int) -> np.ndarray | None:
+    """Hit words of a text, with those of the spans that other parts found."""
+    if spans:
+        hit = np.zeros(n, bool) if hit is None else hit
+        for s in spans:
+            hit[s["start"] : s["end"]] = True
+    return hit
+
+
+FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, width: int, shard_bytes: int, max_benchmark_bytes: int, finish, schema: str) -> DataFrame:
+    """finish(batch, texts, words of each, hits, items) of every batch of docs, with the whole benchmark searched.
+
+    The benchmark's parts are searched in turn: all but the last write the rows with what was found so far beside them, so
+    each row stays one row and at most one part of the benchmark is in memory.
+    """
+    parts, extra = _parts(benchmark, item_col, text_col, max_benchmark_bytes), unused(docs.columns, "found")
+    names, at = docs.columns, docs.columns.index(text_col)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for k, part in enumerate(parts):
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases.of([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], width))
+
+        def run(batch: pa.RecordBatch, phrases=phrases, first=k == 0, last=k == len(parts) - 1) -> dict:
+            texts = text_bytes(batch.column(at))
+            n, hits, items = [], [], []
+            for _, shard in _shards(texts, shard_bytes):
+                for mine, found in zip((n, hits, items), find_hits(shard, phrases.value), strict=True):
+                    mine += found
+            if not first:
+                before = batch.column(len(names)).to_pylist()
+                hits = [_merged(h, b["spans"], m) for h, b, m in zip(hits, before, n, strict=True)]
+                items = [x | set(b["items"]) for x, b in zip(items, before, strict=True)]
+            if last:
+                return finish(batch, texts, n, hits, items)
+            return {c: batch.column(i) for i, c in enumerate(names)} | {extra: [{"spans": _spans(h), "items": _sorted(x)} for h, x in zip(hits, items, strict=True)]}
+
+        if k < len(parts) - 1:
+            docs = saved(arrow_map(docs, run, f"{own}, `{extra}` struct<spans:array<struct<start:bigint,end:bigint>>,items:array<bigint>>"), "found")
+    return arrow_map(docs, run, schema)
+
+
+def _spans(hit: np.ndarray | None) -> list[dict]:
+    return [] if hit is None else [{"start": a, "end": b} for a, b in spans_of(hit)]
+
+
+def _sorted(items: set) -> list:
+    return sorted(items, key=lambda i: (i is None, i))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 8 << 20, max_benchmark_bytes: int = 8 << 20) -> DataFrame:
     """id, n_words, spans (merged removal spans in words), items (sorted) of every text.
 
     Phrases go to all executors; a benchmark of more than max_benchmark_bytes is taken in so many parts that each stays
-    under it, and the parts' spans are merged by row, by a key written with the texts. A null text has no words; a null item
-    id is an item of its own; repeated rows give a row each; an empty benchmark hits nothing.
+    under it, one after the other. A null text has no words; a null item id is an item of its own; each row, repeated or
+    with a null id, gives one row; an empty benchmark hits nothing; an empty table gives no rows; other columns aren't read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = -(-total // max_benchmark_bytes) or 1
-    docs = docs.select(id_col, text_col)
-    if parts > 1:
-        docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    key = ", _row bigint" if parts > 1 else ""
-    out = None
-    for part in range(parts):
-        picked = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else rows
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases.of([(r["item"], r["text"].encode()) for r in picked.toLocalIterator()], width))
-
-        def run(batch: pa.RecordBatch, phrases=phrases) -> dict:
-            got = {"n_words": [], "spans": [], "items": []}
-            for _, texts in _shards(text_bytes(batch.column(1)), shard_bytes):
-                n, hits, items = find_hits(texts, phrases.value)
-                got["n_words"] += n
-                got["spans"] += [[] if h is None else [{"start": a, "end": b} for a, b in spans_of(h)] for h in hits]
-                got["items"] += [sorted(x, key=lambda i: (i is None, i)) for x in items]
-            return {id_col: batch.column(0)} | got | ({"_row": batch.column(2)} if key else {})
-
-        one = arrow_map(docs, run, f"`{id_col}` {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>{key}")
-        out = one if out is None else out.unionByName(one)
-    if parts == 1:
-        return out
-    merged = saved(out, "spans").groupBy("_row").agg(F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("_row")
-
-    def join(batch: pa.RecordBatch) -> dict:
-        spans = []
-        for row in batch.column("spans").to_pylist():
-            done: list[dict] = []
-            for s in row:
-                if done and s["start"] <= done[-1]["end"]:
-                    done[-1]["end"] = max(done[-1]["end"], s["end"])
-                else:
-                    done.append(dict(s))
-            spans.append(done)
-        return {n: spans if n == "spans" else batch.column(n) for n in batch.schema.names}
-
-    return arrow_map(merged, join, ", ".join(f"`{n}` {t}" for n, t in merged.dtypes))
-
-
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 8 << 20) -> DataFrame:
+
+    def finish(batch: pa.RecordBatch, texts: list, n: list, hits: list, items: list) -> dict:
+        return {id_col: batch.column(0), "n_words": n, "spans": [_spans(h) for h in hits], "items": [_sorted(x) for x in items]}
+
+    return _search(docs.select(id_col, text_col), benchmark, text_col, item_col, width, shard_bytes, max_benchmark_bytes, finish, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {FOUND}")
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = 10, shard_bytes: int = 8 << 20, max_benchmark_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs without the hit words (from a span's first word to its last); clean texts stay as they are.
 
-    The benchmark's phrases go to all executors, so it must be small (find_contamination takes one of any size).
+    Columns and their order stay, whatever their names. A benchmark of any size is taken as find_contamination takes it.
+    Null texts stay null; repeated rows are treated alike; an empty table or benchmark changes nothing.
     """
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases.of([(r[0], (r[1] or "").encode()) for r in benchmark.select(F.col(item_col).cast("bigint"), text_col).toLocalIterator()], width))
-    names, at = docs.columns, docs.columns.index(text_col)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        texts = text_bytes(batch.column(at))
-        out: list[bytes | None] = []
-        for _, shard in _shards(texts, shard_bytes):
-            _, hits, _ = find_hits(shard, phrases.value)
-            for t, h in zip(shard, hits, strict=True):
-                if h is not None:
-                    places = [m.span() for m in WORD.finditer(t)]
-                    kept, done = [], 0
-                    for a, b in spans_of(h):
-                        kept.append(t[done : places[a][0]])
-                        done = places[b - 1][1]
-                    t = b"".join([*kept, t[done:]])
-                out.append(t)
-        return {n: out if n == text_col else batch.column(i) for i, n in enumerate(names)}
-
-    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    names = docs.columns
+
+    def finish(batch: pa.RecordBatch, texts: list, n: list, hits: list, items: list) -> dict:
+        out = list(texts)
+        for i, h in enumerate(hits):
+            if h is not None:
+                t, kept, done = texts[i], [], 0
+                places = [m.span() for m in WORD.finditer(t)]
+                for a, b in spans_of(h):
+                    kept.append(t[done : places[a][0]])
+                    done = places[b - 1][1]
+                out[i] = b"".join([*kept, t[done:]])
+        return {c: out if c == text_col else batch.column(i) for i, c in enumerate(names)}
+
+    return _search(docs, benchmark, text_col, item_col, width, shard_bytes, max_benchmark_bytes, finish, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
