@@ -12,16 +12,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import arrow_map, mix64, pack, release, runs, saved, table, text_bytes, unpack
+from cubespark.llm.common import arrow_map, discard, mix64, pack, release, runs, saved, table, text_bytes, unpack, unused
 from cubespark.llm.components import components
 
 U = np.uint64
 #: Odd multipliers of the words in a shingle.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
 SALTS = 16
+#: Rows that go to a worker at a time.
+ROWS = 5000
 
 
 def shingle_sets(texts: list[bytes | None], width: int = 5) -> list[np.ndarray]:
@@ -189,7 +191,7 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, top: i
         return {"id": ids[keep], "set": [s.tobytes() for s in shingle_sets(texts, width)]}
 
     held = arrow_map(docs.select(F.col(id_col).cast("bigint"), text_col), sets, "id bigint, set binary")
-    held = saved(held.join(ids, "id", "left_semi"), "sets")
+    held = saved(held.join(ids, "id", "left_semi"), "sets", ROWS)
     joined = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def verify(batch: pa.RecordBatch) -> dict:
@@ -201,7 +203,9 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, top: i
         ok = np.array(ok, bool)
         return {"a": batch.column("a").filter(pa.array(ok)), "b": batch.column("b").filter(pa.array(ok))}
 
-    return saved(arrow_map(joined.select("a", "b", "sa", "sb"), verify, "a bigint, b bigint"), "links")
+    links = saved(arrow_map(joined.select("a", "b", "sa", "sb"), verify, "a bigint, b bigint"), "links")
+    discard(held)
+    return links
 
 
 def _id_filter(ids: DataFrame, max_bits: int = 27) -> bytes | None:
@@ -244,7 +248,9 @@ def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: int |
     """
     ids = np.asarray(sketches.column("id"))
     n = np.asarray(sketches.column("size"))
-    hashed = np.argsort(mix64(ids.view(U) + U((forest or 0) * (1 + int(groups.column("bucket")[0].as_py())))), kind="stable")
+    with np.errstate(over="ignore"):
+        salt = np.int64(groups.column("bucket")[0].as_py()).astype(U) + U(1) if forest else U(0)
+        hashed = np.argsort(mix64(ids.view(U) + salt), kind="stable")
     place = np.empty(len(ids), np.int64)
     place[hashed] = np.arange(len(ids))
     by_id = np.argsort(ids)
@@ -311,20 +317,41 @@ def _bucket_pairs(groups: pa.Table, sketches: pa.Table, top: int, forest: int |
     return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=PAIRS)
 
 
-def open_pairs(groups: DataFrame, reps: DataFrame, roots: DataFrame | None, buckets: int, top: int, forest: int | None) -> DataFrame:
-    """Distinct pairs of _bucket_pairs over all buckets of keys; only keys that reach into two components are looked at."""
+#: Key groups of more members than that are dealt out in blocks of about as many.
+BLOCK = 4096
+
+
+def open_pairs(groups: DataFrame, reps: DataFrame, roots: DataFrame | None, buckets: int, top: int, forest: int | None, block: int, tried: DataFrame | None) -> DataFrame:
+    """Distinct pairs of _bucket_pairs over all buckets of keys, but for those tried, as a written table.
+
+    Only keys that reach into two components are looked at.
+
+    A group of more than block members is parted by a hash of them. In a forest each part is a bucket of its own, parted
+    differently in each forest, so that the second joins what the first has apart; in the last round each two parts are a
+    bucket, so that all pairs meet and no task holds more than two parts.
+    """
     rooted = groups.withColumn("root", F.col("rep"))
     if roots is not None:
         rooted = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        rooted = rooted.join(mixed, "key", "left_semi")
-    rooted = saved(rooted.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "rep", "root"), "open")
-    members = rooted.select("bucket", "rep").distinct().join(reps, "rep").select(F.col("bucket").alias("own_bucket"), F.col("rep").alias("id"), F.col("n").alias("size"), F.col("sketch").alias("bits"))
-    pairs = rooted.groupBy("bucket").cogroup(members.groupBy("own_bucket")).applyInArrow(lambda g, s: _bucket_pairs(g, s, top, forest), "a bigint, b bigint")
-    return pairs.distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 75, width: int = 5) -> DataFrame:
+    rooted = saved(rooted.select("key", "rep", "root"), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", F.ceil(F.col("c") / block).cast("int").alias("parts"))
+    placed = rooted.join(mixed, "key")
+    part = F.pmod(F.xxhash64("rep", F.lit(forest or 0)), F.col("parts")).cast("int")
+    if forest is not None:
+        split = F.xxhash64("key", part)
+    else:
+        others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != part)
+        split = F.explode(F.transform(others, lambda k: F.xxhash64("key", F.least(part, k), F.greatest(part, k))))
+    small = placed.where("parts = 1").select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "rep", "root")
+    dealt = saved(small.unionByName(placed.where("parts > 1").select(split.alias("bucket"), "key", "rep", "root")), "open")
+    members = dealt.select("bucket", "rep").distinct().join(reps, "rep").select(F.col("bucket").alias("own_bucket"), F.col("rep").alias("id"), F.col("n").alias("size"), F.col("sketch").alias("bits"))
+    pairs = dealt.groupBy("bucket").cogroup(members.groupBy("own_bucket")).applyInArrow(lambda g, s: _bucket_pairs(g, s, top, forest), "a bigint, b bigint").distinct()
+    pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(rooted, dealt)
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 75, width: int = 5, block: int = BLOCK) -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links, its own if none) of every row.
 
     Documents link when their shingle sets' Jaccard similarity is at least top %. Equal sets form a class first and one
@@ -336,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(16, min(size >> 22, 1 << 20))
     pair_buckets = max(16, buckets // 6)
-    out = saved(sketch_pass(docs, id_col, text_col, buckets, top, width), "sketches")
+    out = saved(sketch_pass(docs, id_col, text_col, buckets, top, width), "sketches", ROWS)
     each = out.where("bucket is null").select("doc_id", "n", "sig", "sketch")
     # classes of equal sets: only those with copies are joined back, salted
     copies = each.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
@@ -346,47 +373,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # an id with several texts is the set of the first of them here; all its texts are compared when pairs are verified
     reps = each.where("sketch is not null").groupBy(F.col("rep").alias("rep")).agg(F.min_by("n", "sketch").alias("n"), F.min("sketch").alias("sketch"))
     of = each.where("n > 0 and doc_id is not null").select("doc_id", "rep").distinct()
-    groups = key_groups(out.where("bucket is not null").select("bucket", "keys", "owners")).join(of, "doc_id").select("key", "rep").distinct()
-    groups = saved(groups.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "rep"), "groups")
+    groups = saved(key_groups(out.where("bucket is not null").select("bucket", "keys", "owners")).join(of, "doc_id").select("key", "rep").distinct(), "groups")
     # texts of one id stand for each other
     several = each.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     several = saved(several, "several")
+    discard(out)
     roots, tried = None, None
     for forest in (0, 1, None):
         # in the last round few groups are left; fewer buckets repeat a pair less often
-        pairs = open_pairs(groups, reps, roots, pair_buckets if forest is not None else max(4, pair_buckets // 4), top, forest)
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = open_pairs(groups, reps, roots, pair_buckets if forest is not None else max(4, pair_buckets // 4), top, forest, block, tried)
         links = linked(pairs, docs, id_col, text_col, top, width)
-        roots = components(links.unionByName(several) if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        last, roots = roots, components(links.unionByName(several) if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(links, last)
         tried = pairs if tried is None else tried.unionByName(pairs)
+    discard(groups, several)
     out = each.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
+def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """A number for each (id, hash of the text) in their order, if some id has several texts; None if none has."""
+    seen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")).where("id is not null")
+    if not seen.groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo < hi").limit(1).count():
+        return None
+    return saved(seen.distinct().repartitionByRange("id", "hash").sortWithinPartitions("id", "hash").select("id", "hash", F.monotonically_increasing_id().alias("key")), "rows")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 75, width: int = 5) -> DataFrame:
     """The rows of docs with one document of each near-duplicate group, that of the smallest id; columns stay.
 
-    Rows that repeat an id give one row. Rows without shingles or without an id all stay. Only rows that a bitmap of
-    bounded size can't clear are shuffled, so most texts are not moved.
+    Repeated rows (equal id and text) give one row. Rows that share an id but not a text are documents of their own, the
+    one of the smaller hash first. Rows without shingles or without an id all stay; an empty table gives no rows. Extra
+    columns may have any names. Only rows that a bitmap of bounded size can't clear are shuffled, so most texts aren't moved.
     """
-    found = near_duplicates(docs, id_col, text_col, top, width).where(F.col(id_col).isNotNull())
-    fate = found.groupBy(F.col(id_col).cast("bigint").alias("_id")).agg(F.count("*").alias("_rows"), F.max(F.col("component_id") != F.col(id_col)).alias("_drop")).where("_rows > 1 or _drop")
-    fate = saved(fate.select("_id", "_drop"), "fate")
-    bits = _id_filter(fate.select("_id"))
+    columns, key = docs.columns, unused(docs.columns, "near_key")
+    numbers = _row_keys(docs, id_col, text_col)
+    if numbers is None:
+        keyed = docs.withColumn(key, F.col(id_col).cast("bigint"))
+    else:
+        hashed = f"{key}_own"
+        numbers = numbers.select(F.col("id").alias(f"{key}_id"), F.col("hash").alias(f"{key}_hash"), F.col("key").alias(key))
+        keyed = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(numbers, (F.col(id_col).cast("bigint") == F.col(f"{key}_id")) & (F.col(hashed) == F.col(f"{key}_hash")), "left")
+        keyed = saved(keyed.select(*(F.col(f"`{c}`") for c in columns), key), "keyed")
+    found = near_duplicates(keyed.select(F.col(key).alias("id"), F.col(text_col).alias("text")), "id", "text", top, width).where("id is not null")
+    fate = found.groupBy("id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") != F.col("id")).alias("goes")).where("rows > 1 or goes")
+    fate = saved(fate.select(F.col("id").alias(f"{key}_id"), F.col("goes").alias(f"{key}_goes")), "fate")
+    bits = _id_filter(fate.select(f"{key}_id"))
     if bits is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    names, at = docs.columns, docs.columns.index(id_col)
+    names, at, maybe = keyed.columns, keyed.columns.index(key), f"{key}_maybe"
 
     def mark(batch: pa.RecordBatch) -> dict:
-        ids = batch.column(at).cast(pa.int64())
+        ids = batch.column(at)
         spot = mix64(np.asarray(ids.fill_null(-1)).view(U)) & U(8 * len(shared.value) - 1)
         hit = np.frombuffer(shared.value, np.uint8)[(spot >> U(3)).astype(np.int64)] >> (spot & U(7)).astype(np.uint8) & 1
-        return {n: batch.column(i) for i, n in enumerate(names)} | {"_maybe": (hit > 0) & ~np.asarray(ids.is_null())}
+        return {n: batch.column(i) for i, n in enumerate(names)} | {maybe: (hit > 0) & ~np.asarray(ids.is_null())}
 
-    marked = arrow_map(docs, mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_maybe boolean"]))
-    doubtful = marked.where("_maybe").join(fate, F.col(id_col) == F.col("_id"), "left").where("not coalesce(_drop, false)").dropDuplicates([id_col])
-    return marked.where("not _maybe").select(*names).unionByName(doubtful.select(*names))
+    marked = arrow_map(keyed, mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema), f"`{maybe}` boolean"]))
+    doubtful = marked.where(F.col(maybe)).join(fate, F.col(key) == F.col(f"{key}_id"), "left").where(~F.coalesce(F.col(f"{key}_goes"), F.lit(False))).dropDuplicates([key])
+    back = [F.col(f"`{c}`") for c in columns]
+    return marked.where(~F.col(maybe)).select(*back).unionByName(doubtful.select(*back))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
