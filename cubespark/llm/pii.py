@@ -7,10 +7,12 @@ information content. Such terms are removed wherever they occur, or generalised
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import saved, table
+from cubespark.llm.common import discard, saved, table, unused
 
 #: Fixed values. Possessive repeats and a start at a run's beginning (or where the last match ended) keep matching linear;
 #: the matches are those of the plain patterns.
@@ -27,8 +29,10 @@ KINDS = (*PATTERNS, "term")
 HIDDEN = "\uffff"
 TERM = r"(?<=[^\p{L}\p{N}_\x{FFFF}])\p{L}[\p{L}\p{N}_]{3,}(?=[^\p{L}\p{N}_\x{FFFF}])"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-PLACES = "array<struct<term:string,start:int,end:int>>"
+PLACES = "array<struct<term:bigint,start:int,end:int>>"
 SALTS = 16
+#: One in so many texts is counted before all are, to leave out terms that are too common to disclose.
+EARLY = 4
 
 
 def spans_of(text: Column, pattern: str, kind: int, offset: Column | int = 0) -> Column:
@@ -103,93 +107,149 @@ def _places(padded: Column, maybe) -> Column:
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + F.char_length(x["gap"])
         end = begin + F.char_length(x["found"])
-        place = F.struct(F.lower(x["found"]).alias("term"), begin.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.when(maybe(x["found"]), F.concat(a["places"], F.array(place))).otherwise(a["places"]).alias("places"))
+        place = F.struct(hash_of(x["found"]).alias("term"), begin.cast("int").alias("start"), end.cast("int").alias("end"))
+        return F.struct(end.cast("int").alias("at"), F.when(maybe(hash_of(x["found"])), F.concat(a["places"], F.array(place))).otherwise(a["places"]).alias("places"))
 
     pairs = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("found")), lambda x: F.struct(x["gap"].alias("gap"), x["found"].alias("found")))
     start = F.struct(F.lit(-1).alias("at"), F.lit(None).cast(PLACES).alias("places"))  # the blank before the text
     told = F.aggregate(pairs, start, lambda a, x: step(F.struct(a["at"].alias("at"), F.coalesce(a["places"], none).alias("places")), x))["places"]
-    return F.when(F.exists(found, maybe), told)
+    return F.when(F.exists(found, lambda t: maybe(hash_of(t))), told)
+
 
+def hash_of(x: Column) -> Column:
+    """What terms and values are told apart by, whatever their case."""
+    return F.xxhash64(F.lower(x))
 
-def _term_filter(terms: DataFrame, max_bits: int = 23):
-    """A test of terms against a bitmap of at most 2^max_bits bits whatever their number; None if there are none."""
-    n = terms.count()
+
+def _hash_filter(hashes: DataFrame, max_bits: int = 20):
+    """A test of hashes against a bitmap of at most 2^max_bits bits whatever their number; None if there are none."""
+    n = hashes.count()
     if not n:
         return None
     log = min(max_bits, max(13, (256 * n).bit_length()))
-    place = lambda t: F.xxhash64(F.lower(t)).bitwiseAND(F.lit((1 << log) - 1))
-    at = terms.select(place(F.col("term")).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    place = lambda h: h.bitwiseAND(F.lit((1 << log) - 1))
+    at = hashes.toDF("h").select(place(F.col("h")).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     words = ["0"] * (1 << (log - 6))
     for r in at.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
         words[r["word"]] = str(r["bits"])
     bits = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")  # folded to a literal
-    return lambda t: F.getbit(F.get(bits, F.shiftright(place(t), 6).cast("int")), place(t).bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
-def disclosing_terms(rows: DataFrame, remove_at: float, generalise_at: float, prior: float) -> DataFrame:
-    """term and action of all terms that disclose a value; rows holds text_hash, entities and terms of every text."""
-    texts = saved(rows.groupBy("text_hash").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-texts")
-    n = texts.count()
-    terms = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    told = texts.where(F.size("entities") > 0)
-    values = told.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = told.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    p = F.col("n_entity") / F.lit(max(n, 1))
-    share = 1 - F.log((F.col("n_both") + prior * p) / (F.col("n_term") + prior)) / F.nullif(F.log(p), F.lit(0.0))
-    # "remove" sorts after "generalise" and wins
-    action = F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")
-    found = both.join(values, "entity").join(terms, "term").withColumn("share", share).where(F.col("share") >= generalise_at)
-    return saved(found.groupBy("term").agg(F.max(action).alias("action")), "pii-terms")
+    return lambda h: F.getbit(F.get(bits, F.shiftright(place(h), 6).cast("int")), place(h).bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.9, generalise_at: float = 0.75, prior: float = 1.0) -> DataFrame:
-    """id, base (pattern spans) and terms (disclosing terms: start, end, action) of every text.
+def _share(n_both: Column, n_term: Column, n_entity: Column, n: int) -> Column:
+    """Share of a value's information content that a term gives away: their pointwise mutual information over it, less
+    log(n) / (2 n_both) for what chance may do: among n texts so many terms meet a value that p(value | term) is taken at
+    its lower bound, n_both / n_term * n ** (-1 / (2 n_both))."""
+    content = F.log(F.lit(float(n)) / n_entity)
+    return 1 - (F.log(n_term / n_both) + math.log(max(n, 1)) * 0.5 / n_both) / F.nullif(content, F.lit(0.0))
+
+
+def told_pairs(told: DataFrame, n: int, generalise_at: float) -> DataFrame | None:
+    """entity, term, n_both, n_entity of pairs that may disclose, judged by the texts with values alone; None if none can.
 
-    Counts are of distinct whole texts, so copies of a text weigh once. p(value | term) >= p(value) ** (1 - share) is the
-    same as PMI >= share * IC(value); p(value | term) is smoothed by prior more texts with the term, that hold the value as
-    often as any text. A disclosing term is marked in every text, outside of pattern spans. A null text is empty; repeated
-    rows each come back with the same spans; a null id is kept; other columns aren't read; an empty table gives no rows.
-    Equal starts are ordered by kind.
+    told holds hashes of the entities and terms of the distinct texts with values. A term is in no fewer texts of the corpus
+    than of these, so the share here is an upper bound; common words fall out before the corpus is counted. Entities and
+    terms of too few texts are passed over by bitmaps before pairs are made.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("base", base_spans(F.col("_text")))
-    texts = texts.select("doc_id", F.xxhash64("_text").alias("text_hash"), "base", _open_text(F.col("_text"), F.col("base")).alias("_open"))
-    lower = lambda words: F.array_distinct(F.transform(words, F.lower))
-    terms = lower(F.regexp_extract_all("_open", F.lit(TERM), F.lit(0)))
-    told = disclosing_terms(texts.select("text_hash", lower(F.col("base.value")).alias("entities"), terms.alias("terms")), remove_at, generalise_at, prior)
-    rows = saved(texts.select("doc_id", "text_hash", "base"), "pii")
-    none, maybe = F.array().cast("array<struct<start:int,end:int,action:string>>"), _term_filter(told)
+    least = max(1, math.ceil(0.5 / max(1 - generalise_at, 1e-9)))  # fewer texts of both can't reach the share
+    if generalise_at < 1 and least * (1 - generalise_at) == 0.5 and least > 1:
+        least += 1  # a value of two texts or more has less content than log(n)
+    values = told.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
+    terms = told.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_told")).where(F.col("n_told") >= least)
+    value, term = _hash_filter(values.select("entity")), _hash_filter(terms.select("term"))
+    if value is None or term is None:
+        return None
+    both = told.select(F.explode(F.filter("entities", value)).alias("entity"), F.filter("terms", term).alias("terms")).select("entity", F.explode("terms").alias("term"))
+    both = both.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
+    both = both.join(values, "entity").join(terms, "term").where(_share(F.col("n_both"), F.col("n_told"), F.col("n_entity"), n) >= generalise_at)
+    return both.select("entity", "term", "n_both", "n_entity")
+
+
+def _found(docs: DataFrame, text_col: str, remove_at: float, generalise_at: float) -> DataFrame:
+    """All columns of docs with pii_base and pii_terms (pii_ with more underscores if taken), row by row."""
+    pii = unused(docs.columns, "pii_")
+    row, key, base, opened, places, out = (pii + x for x in ("row", "hash", "base", "open", "places", "terms"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    hashes = lambda words: F.array_distinct(F.transform(words, hash_of))
+
+    def spanned(df: DataFrame) -> DataFrame:
+        return df.withColumn(key, F.xxhash64(text)).withColumn(base, base_spans(text))
+
+    first = spanned(docs.select(F.col(f"`{text_col}`")))
+    holds = F.size(base) > 0
+    early = F.pmod(key, F.lit(EARLY)) == 0
+    first = first.select(F.col(key).alias("hash"), F.when(holds, hashes(F.col(f"{base}.value"))).alias("entities"), F.when(holds | early, hashes(F.regexp_extract_all(_open_text(text, F.col(base)), F.lit(TERM), F.lit(0)))).alias("terms"))
+    first = saved(first, "pii-first")
+    n = first.select("hash").distinct().count()
+    texts = saved(first.where("terms is not null").groupBy("hash").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-told")
+    discard(first)
+    told = texts.where("entities is not null")
+    pairs = told_pairs(told, max(n, 1), generalise_at)
+    if pairs is not None:
+        pairs = saved(pairs, "pii-pairs")
+        if (likely := _hash_filter(pairs.select("term").distinct())) is not None:
+            # the counts of a part of the corpus bound those of all from below, so what falls out here can't disclose
+            some = texts.select(F.explode(F.filter("terms", likely)).alias("term")).groupBy("term").agg(F.count("*").alias("n_some"))
+            last, pairs = pairs, saved(pairs.join(some, "term").where(_share(F.col("n_both"), F.col("n_some"), F.col("n_entity"), n) >= generalise_at).drop("n_some"), "pii-pairs")
+            discard(last)
+    discard(texts)
+    none, maybe = F.array().cast("array<struct<start:int,end:int,action:string>>"), None if pairs is None else _hash_filter(pairs.select("term").distinct())
     if maybe is None:
-        return rows.select(F.col("doc_id").alias(id_col), "base", none.alias("terms"))
-    places = texts.select("doc_id", "text_hash", F.explode(_places(F.col("_open"), maybe)).alias("p")).select("doc_id", "text_hash", "p.*")
+        return spanned(docs).withColumn(out, none).drop(key)
+    rows = spanned(docs).withColumn(opened, _open_text(text, F.col(base))).withColumn(places, _places(F.col(opened), maybe)).drop(opened)
+    rows = saved(rows.withColumn(row, F.monotonically_increasing_id()), "pii")
+    # document frequencies over distinct texts; the filter lets a few other terms through, which join with nothing
+    seen = rows.where(F.col(places).isNotNull()).select(key, F.explode(F.array_distinct(f"{places}.term")).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    share = _share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n)
+    # "remove" sorts after "generalise" and wins
+    action = F.max(F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")).alias("action")
+    told = saved(pairs.join(seen, "term").withColumn("share", share).where(F.col("share") >= generalise_at).groupBy("term").agg(action), "pii-terms")
+    discard(pairs)
     told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = places.withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int")).join(told, ["term", "salt"])
-    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    hits = hits.select(key.alias("_key"), "text_hash", "terms")
-    return rows.withColumn("_key", key).join(hits, ["_key", "text_hash"], "left").select(F.col("doc_id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
+    hits = rows.where(F.col(places).isNotNull()).select(F.col(row), F.explode(places).alias("p")).select(row, "p.*", F.pmod(row, F.lit(SALTS)).cast("int").alias("salt"))
+    hits = hits.join(told, ["term", "salt"]).groupBy(row).agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias(out))
+    back = [F.col(f"`{c}`") for c in (*docs.columns, base)]
+    plain = rows.where(F.col(places).isNull()).select(*back, none.alias(out))
+    return plain.unionByName(rows.where(F.col(places).isNotNull()).join(hits, row, "left").select(*back, F.coalesce(out, none).alias(out)))
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.9, generalise_at: float = 0.75) -> DataFrame:
+    """id, base (pattern spans) and terms (disclosing terms: start, end, action) of every text.
+
+    Counts are of distinct whole texts, so copies of a text weigh once; texts, terms and values are told apart by 64-bit
+    hashes. A term discloses a value when the share of the
+    value's information that it gives away (see _share) reaches generalise_at; from remove_at on it is removed. What was
+    seen together once or twice discloses nothing, however rare, in a corpus of any size. A disclosing term is marked in every text, outside of pattern spans. A null text is empty; repeated rows each
+    come back with the same spans; a null id is kept; other columns aren't read; an empty table gives no rows. Equal starts
+    are ordered by kind.
+    """
+    found = _found(docs.select(F.col(id_col), F.col(text_col).alias("text")), "text", remove_at, generalise_at)
+    return found.select(F.col(id_col), F.col(found.columns[-2]).alias("base"), F.col(found.columns[-1]).alias("terms"))
 
 
-def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", remove_at: float = 0.9, generalise_at: float = 0.75) -> DataFrame:
     """The rows of docs with pattern spans and disclosing terms replaced by [kind], terms to remove by nothing.
 
-    found is find_personal_data's result for docs; ids must be unique.
+    Spans stay beside their row, so ids play no part: rows without one, or that share one, are each made clean, and
+    repeated rows alike. Columns stay, whatever their names; a null text stays null; an empty table gives no rows.
     """
+    found = _found(docs, text_col, remove_at, generalise_at)
+    base, terms = found.columns[-2:]
     names = F.array(*[F.lit(k) for k in PATTERNS])
-    spans = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")).alias("by"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "").otherwise("[term]").alias("by"))),
-    )
-    text = F.col(text_col)
+    spans = F.array_sort(F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")).alias("by"))),
+        F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "").otherwise("[term]").alias("by"))),
+    ))
+    text = F.col(f"`{text_col}`")
 
     def step(a: Column, s: Column) -> Column:
         gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
         return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(gap, s["by"])).otherwise("")).alias("out")))
 
-    done = F.aggregate(F.array_sort("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    joined = docs.join(found.select(id_col, spans.alias("_spans")), id_col, "left").withColumn("_done", F.when(F.size("_spans") > 0, done))
-    fixed = F.when(F.col("_done").isNull(), text).otherwise(F.concat(F.col("_done.out"), F.substring(text, F.col("_done.at") + 1, F.char_length(text))))
-    return joined.withColumn(text_col, fixed).select(*docs.columns)
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    done = F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    fixed = F.when(F.size(base) + F.size(terms) > 0, done).otherwise(text)
+    return found.select(*[fixed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Secrets, personal data, quality rules: spans and counts against plain regular expressions."""
 
 import hashlib
+import math
 import re
 
+import numpy as np
 import pytest
 
 from cubespark.llm import pii, rules, secrets, trigram
@@ -87,19 +89,67 @@ def test_disclosing_terms(spark, edge_docs, empty):
     terms = {r["doc_id"]: {dict(rows)[r["doc_id"]][t["start"] : t["end"]] for t in r["terms"]} for r in found.collect()}
     assert all("greenkeeper" in terms[i] and "home" not in terms[i] and "from" not in terms[i] for i in range(6))
     assert not any(terms[10 + i] for i in range(30))
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df, found).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert "sam@club.org" not in clean[0] and "greenkeeper" not in clean[0] and "[email]" in clean[0] and clean[0].endswith("home")
     assert pii.find_personal_data(edge_docs).count() == edge_docs.count() and pii.find_personal_data(empty).count() == 0
 
 
 def test_disclosing_terms_of_whole_texts(spark):
-    """Terms far from the value, or in a text without it, are marked; what is common elsewhere is not; rare values count."""
+    """Terms far from the value, or in a text without it, are marked; what is common elsewhere is not; what was seen together once isn't."""
     far = "and so on it went " * 12
-    rows = [(i, f"Greenkeeper told {far} as sam@club.org {i}") for i in range(3)] + [(3, f"only the greenkeeper {far} here"), (4, "mail ann@rare.org to the zymurgist, cafébob@rare.org")]
+    rows = [(i, f"Greenkeeper told {far} as sam@club.org {i}") for i in range(8)] + [(8, f"only the greenkeeper {far} here"), (9, "mail ann@rare.org to the zymurgist, cafébob@rare.org")]
     rows += [(10 + i, f"plain words told {i} {far}") for i in range(400)]
     found = {r["doc_id"]: {(dict(rows)[r["doc_id"]][t["start"] : t["end"]]) for t in r["terms"]} for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(found[i] == {"Greenkeeper"} for i in range(3)) and found[3] == {"greenkeeper"}
-    assert found[4] == {"mail", "zymurgist"} and not any(found[10 + i] for i in range(400))
+    assert all(found[i] == {"Greenkeeper"} for i in range(8)) and found[8] == {"greenkeeper"}
+    assert not found[9] and not any(found[10 + i] for i in range(400))
+
+
+def plain_terms(texts, remove_at=0.9, generalise_at=0.75):
+    """Terms and actions by the definition, over all pairs of a value and a term."""
+    rows = set()
+    for t in set(texts):
+        spans, hidden = base_personal(t), t
+        for s, _, e, _ in spans:
+            hidden = hidden[:s] + re.sub(r"[^\W]", "\uffff", hidden[s:e]) + hidden[e:]
+        found = {m.group().lower() for m in re.finditer(r"(?<![\w\uffff])[^\W\d_]\w{3,}(?![\w\uffff])", hidden)}
+        rows.add((frozenset(t[s:e].lower() for s, _, e, _ in spans), frozenset(found)))
+    out = {}
+    for v in set().union(*(r[0] for r in rows)):
+        have = [r for r in rows if v in r[0]]
+        content = math.log(len(rows) / len(have))
+        for w in set().union(*(r[1] for r in have)):
+            both, n = sum(w in r[1] for r in have), sum(w in r[1] for r in rows)
+            share = 1 - (math.log(n / both) + math.log(len(rows)) * 0.5 / both) / content if content else 0
+            if share >= generalise_at:
+                out[w] = max(out.get(w, ""), "remove" if share >= remove_at else "generalise")
+    return out
+
+
+def test_terms_by_definition(spark):
+    rng = np.random.default_rng(2)
+    names = [f"name{k}@mail.org" for k in range(6)]
+    texts = []
+    for k in range(160):
+        who = int(rng.integers(0, 12))
+        words = [f"common{x}" for x in rng.integers(0, 20, 6)] + [f"seldom{x}" for x in rng.integers(0, 150, 3)]
+        words += [f"nick{who}"] * (rng.random() < 0.8) + ([names[who]] if who < 6 and rng.random() < 0.7 else [])
+        texts.append(" ".join(rng.permutation(words)))
+    texts += texts[:15]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in pii.find_personal_data(df).collect():
+        for t in r["terms"]:
+            got[texts[r["doc_id"]][t["start"] : t["end"]].lower()] = t["action"]
+    assert got == plain_terms(texts) and len(got) > 3
+
+
+def test_sanitise_row_by_row(spark, edge_docs, empty):
+    """Rows without an id, rows that share one, repeated rows, any column names; nothing personal is left."""
+    rows = [(None, "write to a@b.cd now", 1, 2, 3), (1, "call +49 30 1234567890", 1, 2, 3), (1, "ip 10.0.0.1", 1, 2, 3), (2, "x@y.zz", 1, 2, 3), (2, "x@y.zz", 1, 2, 3), (3, None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans int, _done int, pii_row int")
+    got = pii.sanitise(df)
+    assert got.schema == df.schema and sorted(str(r["text"]) for r in got.collect()) == sorted(["write to [email] now", "call [phone]", "ip [ip]", "[email]", "[email]", "None"])
+    assert pii.sanitise(edge_docs).count() == edge_docs.count() and pii.sanitise(empty).count() == 0
 
 
 def plain_rules(text):
