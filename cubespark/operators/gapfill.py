@@ -43,29 +43,55 @@ def _distance(pixel: list[str]):
     return sum(((F.col(f"g_{p}") - F.col(p)) * (F.col(f"g_{p}") - F.col(p)) for p in pixel), F.lit(0))
 
 
-def nearest_known(gaps: DataFrame, known: DataFrame, pixel: list[str], k: int, same: str | None = None, value: str | None = None) -> DataFrame:
-    """For each gap pixel the k nearest known ones (ties in row-major order), of its own class if same is given.
+def _extent(known: DataFrame, gaps: DataFrame, pixel: list[str]) -> int:
+    """A bound on how far apart pixels can be in one dimension."""
+    both = known.select(*pixel).unionByName(gaps.select(*pixel))
+    row = both.agg(*[f(p).alias(f"{p}{k}") for p in pixel for k, f in enumerate((F.min, F.max))]).first()
+    return max([(row[f"{p}1"] or 0) - (row[f"{p}0"] or 0) for p in pixel], default=0) + 1
 
-    Candidates are those of one layer: pixels of a class meet by an equi-join on it.
-    """
-    held = [c for c in gaps.columns if c not in {*pixel, same}]
-    left = gaps.select(*held, *[F.col(p).alias(f"g_{p}") for p in pixel], *([same] if same else []))
-    right = known.select(*pixel, *([same] if same else []), *([value] if value else []))
-    pairs = left.join(right, same) if same else left.crossJoin(right)
-    keys = [*held, *[f"g_{p}" for p in pixel]]
-    pairs = pairs.withColumn("d2", _distance(pixel).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("d2", *pixel))
-    return pairs.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select(*keys, *pixel, *([value] if value else []), "d2", "rank")
 
+def nearest_known(gaps: DataFrame, known: DataFrame, pixel: list[str], k: int, same: str | list[str] | None = None, value: str | None = None, extent: int | None = None, tile: int = 32) -> DataFrame:
+    """For each gap pixel the k nearest known ones (ties in row-major order), among those equal in same if given.
 
-def interpolate(gaps: DataFrame, known: DataFrame, pixel: list[str], value: str, min_known: int = 11) -> DataFrame:
+    Pixels meet by tiles: a gap joins the known pixels of its tile and those around, which hold all within a tile's side of
+    it. If its k-th is no farther, it is done; what is left goes on with tiles four times as wide, until a tile's side
+    reaches the extent (pixels along the longest dimension; looked up if not given) and nothing can lie outside.
+    """
+    same = [same] if isinstance(same, str) else same or []
+    held = [c for c in gaps.columns if c not in {*pixel, *same}]
+    extent = _extent(known, gaps, pixel) if extent is None else extent
+    keys = [*held, *[f"g_{p}" for p in pixel]]
+    left = gaps.select(*held, *same, *[F.col(p).alias(f"g_{p}") for p in pixel])
+    right = known.select(*pixel, *same, *([value] if value else []))
+    by = Window.partitionBy(*keys, *same)
+    found = None
+    while True:
+        asked = left
+        for p in pixel:
+            home = F.floor(F.col(f"g_{p}") / tile)
+            # a tile as wide as the layer has no neighbours that matter but the one across its edge
+            asked = asked.withColumn(f"t_{p}", F.explode(F.sequence(home - 1, home + 1)))
+        tiled = right.select("*", *[F.floor(F.col(p) / tile).alias(f"t_{p}") for p in pixel])
+        pairs = asked.join(tiled, [*same, *[f"t_{p}" for p in pixel]]).drop(*[f"t_{p}" for p in pixel]).withColumn("d2", _distance(pixel).cast("bigint"))
+        near = pairs.withColumn("rank", F.row_number().over(by.orderBy("d2", *pixel)).cast("bigint")).where(F.col("rank") <= k)
+        out = [*keys, *pixel, *([value] if value else []), "d2", "rank"]
+        if tile >= extent:
+            near = near.select(*out)
+            return near if found is None else found.unionByName(near)
+        near = near.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("d2"))).over(by)).where(F.col("_kth") <= tile * tile).persist()
+        found = near.select(*out) if found is None else found.unionByName(near.select(*out))
+        left = left.join(near.select(*keys, *same).distinct(), [*keys, *same], "left_anti")
+        tile *= 4
+
+
+def interpolate(gaps: DataFrame, known: DataFrame, pixel: list[str], value: str, min_known: int = 11, extent: int | None = None) -> DataFrame:
     """The nearest known value of each gap pixel, ties in row-major order; NULL with fewer than min_known known ones."""
     held = [c for c in gaps.columns if c not in pixel]
-    n = known.agg(F.count("*").alias("_known"))
-    pairs = gaps.select(*held, *[F.col(p).alias(f"g_{p}") for p in pixel]).crossJoin(known.select(*pixel, value))
-    best = F.min_by(value, F.struct(_distance(pixel).alias("d2"), *pixel))
-    out = pairs.groupBy(*held, *[f"g_{p}" for p in pixel]).agg(best.alias("filled")).crossJoin(F.broadcast(n))
-    return out.select(*held, *[F.col(f"g_{p}").alias(p) for p in pixel], F.when(F.col("_known") >= min_known, F.col("filled")).alias("filled"))
+    n = known.agg(F.count("*").alias("_known"))  # one row
+    best = nearest_known(gaps, known, pixel, 1, value=value, extent=extent)
+    best = best.select(*held, *[F.col(f"g_{p}").alias(p) for p in pixel], F.col(value).alias("filled"))
+    out = gaps.select(*held, *pixel).join(best, [*held, *pixel], "left").crossJoin(F.broadcast(n))
+    return out.select(*held, *pixel, F.when(F.col("_known") >= min_known, F.col("filled")).alias("filled"))
 
 
 def predictor_matrix(predictors: DataFrame, cube: Cube, variable: str, layer_dim: str, keys: list[str]) -> DataFrame:
@@ -107,16 +133,15 @@ def fill_gaps(cube: Cube, variable: str, layer_dim: str, layer: int, gaps: DataF
     pixel = [f"i_{d}" for d in pixel_dims(cube, layer_dim)]
     keys = ["gap_size", *[f"g_{p}" for p in pixel]]
     target = cube.df.where(F.col(f"i_{layer_dim}") == layer).select(*pixel, F.col(variable).alias("now"))
+    extent = max(cube.sizes[d] for d in pixel_dims(cube, layer_dim))
     sizes = gaps.select("gap_size").distinct()
     # known in a variant of the layer: observed and not one of its gaps
     known = sizes.crossJoin(target.where("now is not null")).join(gaps, ["gap_size", *pixel], "left_anti")
     renamed = gaps.select("gap_size", *[F.col(p).alias(f"g_{p}") for p in pixel])
     if predictor == "classes":
         side = classes.select(*pixel, "class")
-        asked = renamed.join(side.select(*[F.col(p).alias(f"g_{p}") for p in pixel], "class"), [f"g_{p}" for p in pixel])
-        pairs = asked.join(known.join(side, pixel), ["gap_size", "class"]).withColumn("d2", _distance(pixel))
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("d2", *pixel))
-        chosen = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, *pixel, "rank", "now")
+        asked = gaps.select("gap_size", *pixel).join(side, pixel).withColumn("_size", F.col("gap_size"))
+        chosen = nearest_known(asked, known.join(side, pixel).withColumn("_size", F.col("gap_size")), pixel, k, same=["_size", "class"], value="now", extent=extent).select(*keys, *pixel, "rank", "now")
     else:
         order = [uniform(seed, *pixel), *map(F.col, pixel)] if predictor == "RandomPoints" else list(map(F.col, pixel))
         rank = F.row_number().over(Window.partitionBy("gap_size").orderBy(*order))
@@ -142,7 +167,8 @@ def fill_gaps(cube: Cube, variable: str, layer_dim: str, layer: int, gaps: DataF
     spark = cube.df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     fitted = packed.repartition(n, *keys).mapInPandas(fit, spec)
-    near = renamed.join(known, "gap_size").withColumn("d2", _distance(pixel)).groupBy(*keys).agg(F.min_by("now", F.struct("d2", *pixel)).alias("near"))
+    near = nearest_known(gaps.select("gap_size", *pixel).withColumn("_size", F.col("gap_size")), known.withColumn("_size", F.col("gap_size")), pixel, 1, same=["_size"], value="now", extent=extent)
+    near = near.select(*keys, F.col("now").alias("near"))
     actual = target.select(*[F.col(p).alias(f"g_{p}") for p in pixel], F.col("now").alias("actual"))
     out = renamed.join(actual, [f"g_{p}" for p in pixel], "left").join(near, keys, "left").join(fitted, keys, "left")
     return out.select("gap_size", *[F.col(f"g_{p}").alias(p) for p in pixel], "actual", F.coalesce("model", "near").alias("filled"), "cv_error", F.when(F.col("model").isNotNull(), "model").when(F.col("near").isNotNull(), "nearest").alias("how"))

@@ -119,7 +119,7 @@ class ChunkSampler:
         self.size, self.overlap, self.callback, self.options = size, overlap, callback, options
         self.variables = [v for v in cube.data_variables if v != options.get("mask", "filter_mask")]
         self.scale_by = scale_by
-        base = cube.df.where("split") if fit_on == "train" and "split" in cube.variables else cube.df
+        base = cube.df.where("split") if fit_on == "train" and "split" in cube.variables else cube.observed
         self.params = scale_params(base, self.variables, scale_by) if scale_by in ("normalize", "standardize") else {}
 
     def _samples(self, cube: Cube) -> tuple[DataFrame, list[str]]:

@@ -37,7 +37,7 @@ def predict_missing(df: DataFrame, params: Params, target: str) -> DataFrame:
 
 
 class Trainer:
-    """Gradient descent on squared loss; each epoch's gradient and validation loss are one aggregate a table.
+    """Gradient descent on squared loss, on moments that are one aggregate a table.
 
     The best parameters by validation loss are kept, and training ends after patience epochs without a better one.
     warm_start takes parameters of another model: unknown names are left out, missing ones start at 0.
@@ -50,27 +50,39 @@ class Trainer:
         self.params = {f: float(start.get(f, 0.0)) for f in [*features, "bias"]}
         self.history: list[tuple[int, float, float]] = []
 
-    def _error(self):
-        return sum((F.col(f) * self.params[f] for f in self.features), F.lit(self.params["bias"])) - F.col(self.label)
+    def _moments(self, df: DataFrame) -> np.ndarray | None:
+        """E[z z'] of z = (features, 1, label): all that the squared loss and its gradient need of a table, in one aggregate."""
+        z = [*[F.col(f) for f in self.features], F.lit(1.0), F.col(self.label)]
+        row = df.agg(*[F.avg(a * b) for i, a in enumerate(z) for b in z[i:]]).first()
+        if row[0] is None:
+            return None
+        out = np.zeros((len(z), len(z)))
+        out[np.triu_indices(len(z))] = list(row)
+        return out + np.triu(out, 1).T
+
+    def _loss(self, moments: np.ndarray) -> float:
+        v = np.array([*self.params.values(), -1.0])
+        return float(v @ moments @ v)
 
     def loss(self, df: DataFrame) -> float:
-        e = self._error()
-        return df.agg(F.avg(e * e)).first()[0]
+        return self._loss(self._moments(df))
 
     def train(self, train: DataFrame, test: DataFrame | None = None) -> Params:
+        """All epochs follow from the moments of both tables, so each is read once whatever the number of epochs."""
         names = [*self.features, self.label]
-        train = train.select(*names).na.drop()
-        test = (test if test is not None else train).select(*names).na.drop()
+        fit = self._moments(train.select(*names).na.drop())
+        check = fit if test is None else self._moments(test.select(*names).na.drop())
+        if fit is None or check is None:
+            raise ValueError("no complete row to fit on or to check with")
         best, strikes, kept = float("inf"), 0, dict(self.params)
         for epoch in range(self.epochs):
-            e = self._error()
-            row = train.agg(F.avg(e * e).alias("loss"), F.avg(e).alias("bias"), *[F.avg(e * F.col(f)).alias(f) for f in self.features]).first()
-            for f in self.params:
-                self.params[f] -= self.rate * 2 * row[f]
-            valid = self.loss(test)
-            self.history.append((epoch, row["loss"], valid))
+            loss = self._loss(fit)
+            slope = fit @ np.array([*self.params.values(), -1.0])
+            self.params = {f: p - self.rate * 2 * float(g) for (f, p), g in zip(self.params.items(), slope[:-1], strict=True)}
+            valid = self._loss(check)
+            self.history.append((epoch, loss, valid))
             if self.on_epoch:
-                self.on_epoch(epoch, row["loss"], valid)
+                self.on_epoch(epoch, loss, valid)
             if valid < best:
                 best, strikes, kept = valid, 0, dict(self.params)
             else:

@@ -40,7 +40,7 @@ def dim_range(spark, d):
 
 @query("layer_gap_ratio", E + "select cast(i_t as bigint) i_t, cast(t as varchar) t, count(*) cells, count(*) - count(v) gaps, round_even((count(*) - count(v)) / count(*), 2) ratio from c group by i_t, t")
 def layer_gap_ratio(spark, d):
-    return statistics.gap_summary(ecube(spark, d).df, "v", "i_t", "t").withColumn("t", F.col("t").cast("string"))
+    return statistics.layer_gaps(ecube(spark, d), "v", "t").withColumn("t", F.col("t").cast("string"))
 
 
 @query("layer_extremes", E + ", g as (select i_t, t, round_even((count(*) - count(v)) / count(*), 2) r from c group by all) select cast((select t from g where r > 0 order by r desc, i_t limit 1) as varchar) most_layer, (select r from g where r > 0 order by r desc, i_t limit 1) most_ratio, cast((select t from g where r < 1 order by r, i_t limit 1) as varchar) least_layer, (select r from g where r < 1 order by r, i_t limit 1) least_ratio")
@@ -70,7 +70,7 @@ def chunk_by_index(spark, d):
 
 @query("chunk_stats", E + "select cast(chunk_id as bigint) chunk_id, count(*) cells, count(v) seen, round(avg(v), 6) mean, round(min(v), 6) \"min\", round(max(v), 6) \"max\" from c group by 1")
 def chunk_stats(spark, d):
-    return rounded(statistics.chunk_statistics(geometry.with_chunks(ecube(spark, d)), "v"), "mean", "min", "max")
+    return rounded(statistics.chunk_report(ecube(spark, d), "v"), "mean", "min", "max")
 
 
 @query("block_iter", E + ", f as (select i_t, i_h, i_e, v, (i_t // 7 * 2 + i_h // 12) * 5 + i_e as block from c) select cast(block as bigint) block, count(*) cells, count(v) seen, cast(max(i_t - i_t // 7 * 7) as bigint) last_t from f group by block")
@@ -261,17 +261,17 @@ _LC = "cast(i_m as bigint) i_m, cast(i_s as bigint) i_s, cast(i_l as bigint) i_l
 
 def _scaled(spark, d, method, back=False):
     cube = lcube(spark, d)
-    params = scaling.scale_params(cube.df, ["qty", "price"], method)
+    params = scaling.scale_params(cube.observed, ["qty", "price"], method)
     df = scaling.scale(cube.df, params, method)
     return rounded((scaling.unscale(df, params, method) if back else df).select(*cube.index(), "qty", "price"), "qty", "price", places=4 if back else 6)
 
 
-@query("normalize", L + f"select {_LC}, round((qty - (select min(qty) from k)) / (select max(qty) - min(qty) from k), 6) qty, round((price - (select min(price) from k)) / (select max(price) - min(price) from k), 6) price from k")
+@query("normalize", L + f", p as materialized (select min(qty) aq, max(qty) - min(qty) sq, min(price) ap, max(price) - min(price) sp from obs) select {_LC}, round((qty - aq) / sq, 6) qty, round((price - ap) / sp, 6) price from k, p")
 def normalize(spark, d):
     return _scaled(spark, d, "normalize")
 
 
-@query("standardize", L + f"select {_LC}, round((qty - (select avg(qty) from k)) / (select stddev_pop(qty) from k), 6) qty, round((price - (select avg(price) from k)) / (select stddev_pop(price) from k), 6) price from k")
+@query("standardize", L + f", p as materialized (select avg(qty) aq, stddev_pop(qty) sq, avg(price) ap, stddev_pop(price) sp from obs) select {_LC}, round((qty - aq) / sq, 6) qty, round((price - ap) / sp, 6) price from k, p")
 def standardize(spark, d):
     return _scaled(spark, d, "standardize")
 
@@ -344,7 +344,7 @@ def sample_set(spark, d):
 @query("batches", E + f", r as (select cell, row_number() over (order by {u(9, 'cell')}, cell) rn, count(*) over () n from c where v is not null) select cast(cell as bigint) cell, cast((rn - 1) // 64 as bigint) batch_id from r where ((rn - 1) // 64 + 1) * 64 <= n")
 def batches(spark, d):
     cube = ecube(spark, d)
-    points = cube.df.where("v is not null").select(cube.cell_number().alias("cell"))
+    points = cube.known("v").select(cube.cell_number().alias("cell"))
     return samples.batches(points, 64, 9, "cell")
 
 

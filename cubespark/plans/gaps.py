@@ -50,7 +50,7 @@ r as (select *, row_number() over (partition by gh, ge order by d2, i_h, i_e) rn
 def _neighbours(cube, k):
     known = _layer(cube).where("v is not null").withColumn("class", F.floor(F.col("i_h") / 6))
     gaps = _gaps(cube).where("gap_size = 0.1").drop("gap_size").withColumn("class", F.floor(F.col("i_h") / 6))
-    return gapfill.nearest_known(gaps, known.join(gaps.select(*PIXEL), PIXEL, "left_anti"), PIXEL, k, same="class")
+    return gapfill.nearest_known(gaps, known.join(gaps.select(*PIXEL), PIXEL, "left_anti"), PIXEL, k, same="class", extent=24)
 
 
 @query("knn_predictors", _KNN + "select cast(gh as bigint) g_i_h, cast(ge as bigint) g_i_e, cast(i_h as bigint) i_h, cast(i_e as bigint) i_e, cast(d2 as bigint) d2, cast(rn as bigint) rank from r where rn <= 5")
@@ -74,7 +74,7 @@ f as (select gap_size, i_h, i_e, v filled from b where rn = 1)
 def _nearest(cube, size):
     gaps = _gaps(cube).where(F.col("gap_size") == size)
     known = _layer(cube).where("v is not null").join(gaps.select(*PIXEL), PIXEL, "left_anti")
-    return gapfill.interpolate(gaps, known, PIXEL, "v")
+    return gapfill.interpolate(gaps, known, PIXEL, "v", extent=24)
 
 
 @query("nearest_interpolation", _NEAR + f"select gap_size, {_IDX}, round(filled, 6) filled from f where gap_size = 0.25")

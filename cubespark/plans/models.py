@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cubespark import sources, streaming
+from cubespark.functions import uniform
 from cubespark.operators import scaling, splitting, training
 from cubespark.plans import query
 from cubespark.plans.fixtures import BLOCK, E, L, ecube, lcube, rounded, u
@@ -26,7 +27,7 @@ def scratch(spark, name: str) -> str:
 
 @query("ols_fit", L + "select round(regr_slope(price, qty), 4) slope, round(regr_intercept(price, qty), 2) bias from k")
 def ols_fit(spark, d):
-    p = training.fit_linear(lcube(spark, d).df, ["qty"], "price")
+    p = training.fit_linear(lcube(spark, d).observed, ["qty"], "price")
     return spark.createDataFrame([(round(p["qty"], 4), round(p["bias"], 2))], "slope double, bias double")
 
 
@@ -34,7 +35,7 @@ def ols_fit(spark, d):
 select cast(i_m as bigint) i_m, cast(i_s as bigint) i_s, cast(i_l as bigint) i_l, y is null as predicted, round(coalesce(y, b + a * qty), 6) y from h, f""")
 def predict_missing(spark, d):
     cube = lcube(spark, d)
-    df = cube.df.where("qty is not null").withColumn("y", F.when((F.col("i_m") + F.col("i_s") + F.col("i_l")) % 5 != 0, F.col("price")))
+    df = cube.known("qty").withColumn("y", F.when((F.col("i_m") + F.col("i_s") + F.col("i_l")) % 5 != 0, F.col("price")))
     params = training.fit_linear(df, ["qty"], "y")
     return rounded(training.predict_missing(df.select(*cube.index(), "qty", "y"), params, "y").select(*cube.index(), "predicted", "y"), "y")
 
@@ -43,22 +44,34 @@ def predict_missing(spark, d):
 select cast(i_m as bigint) i_m, cast(i_s as bigint) i_s, cast(i_l as bigint) i_l, round((qty - aq) * a + ap, 3) price from n, s""")
 def predict_unscaled(spark, d):
     cube = lcube(spark, d)
-    df = cube.df.where("qty is not null")
+    df = cube.known("qty")
     scales = scaling.scale_params(df, ["qty", "price"], "standardize")
     scaled = scaling.scale(df, scales, "standardize")
     out = training.predict(scaled.drop("price"), training.fit_linear(scaled, ["qty"], "price"), "price")
     return rounded(scaling.unscale(out, {"price": scales["price"]}, "standardize").select(*cube.index(), "price"), "price", places=3)
 
 
-@query("sgd_fit")
+_SGD = L + f""", n as materialized (select *, {u(7, "((i_m * (select count(*) from ax_s) + i_s) * (select count(*) from ax_l) + i_l)")} < 0.8 as split from k where qty is not null),
+s as materialized (select avg(qty) aq, stddev_pop(qty) sq, avg(price) ap, stddev_pop(price) sp from n),
+z as materialized (select split, (qty - aq) / sq x, (price - ap) / sp y from n, s),
+m as materialized (select split, avg(x) x, avg(y) y, avg(x * x) xx, avg(x * y) xy, avg(y * y) yy from z group by split),
+e as (with recursive e(epoch, a, b) as (
+    select 0, 0.0::double, 0.0::double union all
+    select epoch + 1, a - 0.4 * (a * xx + b * x - xy), b - 0.4 * (a * x + b - y) from e, m where m.split and epoch < 5) select * from e),
+l as (select epoch, split, a * a * xx + b * b + yy + 2 * a * b * x - 2 * a * xy - 2 * b * y as loss from e, m),
+h as (select f.epoch, f.loss as train_loss, g.loss as valid_loss, coalesce(g.loss < min(g.loss) over (order by f.epoch rows between unbounded preceding and 1 preceding), true) as better
+      from l f join l g on g.epoch = f.epoch + 1 where f.split and not g.split),
+w as (select *, epoch - max(case when better then epoch end) over (order by epoch) as strikes from h)
+select cast(epoch as bigint) epoch, round(train_loss, 6) train_loss, round(valid_loss, 6) valid_loss from w where epoch <= coalesce((select min(epoch) from w where strikes >= 2), 99)"""
+
+
+@query("sgd_fit", _SGD)
 def sgd_fit(spark, d):
-    """Not told in SQL: descent steps on the driver, one aggregate each."""
-    cube = splitting.random_split(lcube(spark, d), 0.8, 7)
-    df = cube.df.where("qty is not null")
-    df = scaling.scale(df, scaling.scale_params(df, ["qty", "price"], "standardize"), "standardize").select("qty", "price", "split").persist()
+    cube = lcube(spark, d)
+    df = cube.known("qty").withColumn("split", uniform(7, cube.cell_number()) < 0.8)
+    df = scaling.scale(df, scaling.scale_params(df, ["qty", "price"], "standardize"), "standardize").select("qty", "price", "split")
     t = training.Trainer(["qty"], "price", rate=0.2, epochs=5, patience=2)
     t.train(df.where("split"), df.where("not split"))
-    df.unpersist()
     return spark.createDataFrame([(e, round(a, 6), round(b, 6)) for e, a, b in t.history], "epoch bigint, train_loss double, valid_loss double")
 
 

@@ -304,3 +304,49 @@ def test_rename_and_filter(spark):
     assert cleaning.apply_filter(cube.df, ["v"]).count() == 12
     masked = cube.df.withColumn("filter_mask", F.col("i_x") == 0)
     assert cleaning.apply_filter(masked, ["v"], ["i_time", "i_lat"], drop_sample=True).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2, 5, 64])
+def test_nearest_by_tiles(spark, tile):
+    """Tiles of any width give the nearest of all pairs, also where most of a layer is missing or a class is rare."""
+    rng = np.random.default_rng(tile)
+    cells = [(int(y), int(x), int(rng.integers(0, 3)) if rng.random() < 0.97 else 9, float(rng.random())) for y in range(40) for x in range(23)]
+    seen = [c for c in cells if rng.random() < (0.5 if c[1] < 6 else 0.02)]
+    ask = [c for c in cells if c not in seen][::7]
+    known = spark.createDataFrame(seen, "y bigint, x bigint, c int, v double")
+    gaps = spark.createDataFrame([(n, y, x, c) for n, (y, x, c, _) in enumerate(ask)], "n bigint, y bigint, x bigint, c int")
+    far = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2, b[0], b[1])
+    for same in (None, "c"):
+        got = {}
+        for r in gapfill.nearest_known(gaps, known, ["y", "x"], 4, same=same, value="v", tile=tile).collect():
+            got[r["n"], r["rank"]] = (r["d2"], r["y"], r["x"], r["v"])
+        want = {}
+        for n, a in enumerate(ask):
+            for k, b in enumerate(sorted((b for b in seen if same is None or b[2] == a[2]), key=lambda b: far(a, b))[:4]):
+                want[n, k + 1] = (*far(a, b), b[3])
+        assert got == want
+
+
+def test_axes_are_read_once_and_only_if_asked(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (5, "a", 3.0), (None, "a", 4.0)], "k long, s string, x double")
+    asked = []
+    from cubespark import cube as cubes
+
+    built = cubes.from_table(df, {"k": F.col("k"), "s": F.col("s")}, {"v": F.max("x")})
+    load = built.axes._load
+    built.axes._load = lambda names: asked.append(names) or load(names)
+    assert statistics.value_range(built).collect()[0][:] == (1.0, 3.0) and not asked
+    assert built.sizes == {"k": 3, "s": 2} and built.axes["s"] == ["a", "b"] and asked == [["k", "s"]]
+    assert sorted((r["i_k"], r["i_s"], r["v"]) for r in built.known().collect()) == [(0, 0, 1.0), (2, 0, 3.0)]
+    assert built.df.count() == 6 and statistics.layer_gaps(built, "v", "s").orderBy("i_s").collect()[1]["gaps"] == 3
+
+
+def test_axis_too_long_is_an_error(spark, monkeypatch):
+    from cubespark import cube as cubes
+
+    monkeypatch.setattr(cubes, "MAX_AXIS", 3)
+    cells = spark.range(5).select(F.col("id").alias("i_k"), F.col("id").alias("k"), F.lit(1.0).alias("v"))
+    with pytest.raises(ValueError):
+        cubes.from_cells(cells, ["k"]).sizes  # noqa: B018
+    with pytest.raises(ValueError):
+        cubes.from_table(cells, {"k": F.col("k")}, {"w": F.max("v")}).sizes  # noqa: B018
