@@ -29,6 +29,12 @@ def slice_labels(cube: Cube, **ranges: tuple) -> Cube:
     return Cube(df, axes, cube.variables, cube.chunks)
 
 
+def every(cube: Cube, dim: str, step: int) -> Cube:
+    """Every step-th label of a dimension, as a coarser level of a pyramid has."""
+    df = cube.df.where(F.col(f"i_{dim}") % step == 0).withColumn(f"i_{dim}", F.floor(F.col(f"i_{dim}") / step))
+    return Cube(df, dict(cube.axes) | {dim: cube.axes[dim][::step]}, cube.variables, cube.chunks)
+
+
 def layer_by_index(cube: Cube, dim: str, index: int) -> Cube:
     return isel(cube, {dim: (index, index + 1)})
 

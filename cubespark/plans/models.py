@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cubespark import sources, streaming
 from cubespark.functions import uniform
-from cubespark.operators import scaling, splitting, training
+from cubespark.operators import samples, scaling, selection, splitting, training
 from cubespark.plans import query
 from cubespark.plans.fixtures import BLOCK, E, L, ecube, lcube, rounded, u
 from cubespark.sources import read_table
@@ -107,3 +107,84 @@ def stream_append(spark, d):
     q = streaming.append_batches(stream.select("event_id", "event_type", "value"), path, path + "-state")
     q.awaitTermination()
     return rounded(spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", places=4)
+
+
+@query("append_carried", "with r as (select event_id, row_number() over (order by event_id) rn, count(*) over () n from events) select event_id from r where rn <= n // 184 * 184")
+def append_carried(spark, d):
+    """Three appends of thirds, whole groups only; what one leaves goes with the next."""
+    path, events = scratch(spark, "carried"), read_table(spark, d, "events").select("event_id")
+    third = events.agg(F.max("event_id")).first()[0] // 3 + 1
+    for k in range(3):
+        sources.append_whole_groups(events.where(F.col("event_id").between(k * third, (k + 1) * third - 1)), path, 184, "event_id")
+    return spark.read.parquet(path)
+
+
+_POINTS = E + f""", k as (select *, min(v) over () lo, max(v) over () hi from c),
+r as (select (v - lo) / (hi - lo) v, row_number() over (partition by chunk_id order by {u(3, "chunk_id || '|' || i_t || '|' || i_h || '|' || i_e")}, chunk_id, i_t, i_h, i_e) <= floor(count(*) over (partition by chunk_id) * 0.8 + 1e-9) as train from k where v is not null)
+select train, count(*) n, round(sum(v), 4) total from r group by train"""
+
+
+@query("chunk_sampler", _POINTS)
+def chunk_sampler(spark, d):
+    """Points of all chunks, normalised, split by chunk, through a folder."""
+    sampler = samples.ChunkSampler(ecube(spark, d), scratch(spark, "sampler"), share=0.8, seed=3, scale_by="normalize")
+    sampler.create()
+    train, test = sampler.datasets()
+    both = train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+    return rounded(both.groupBy("train").agg(F.count("*").alias("n"), F.sum("v").alias("total")), "total", places=4)
+
+
+@query("chunk_dataset", E + "select cast(i_t - 10 as bigint) i_t, cast(i_h - 8 as bigint) i_h, cast(i_e as bigint) i_e, round(v, 6) v from c where chunk_id = 8")
+def chunk_dataset(spark, d):
+    """One chunk by number, as a frame on the driver."""
+    frame = samples.ChunkDataset(ecube(spark, d), chunks=[3, 8])[1]
+    rows = [(int(t), int(h), int(e), None if v != v else round(float(v), 6)) for t, h, e, v in frame[["i_t", "i_h", "i_e", "v"]].itertuples(index=False)]
+    return spark.createDataFrame(rows, "i_t bigint, i_h bigint, i_e bigint, v double")
+
+
+@query("batches_with_tail", E + f", r as (select cell, row_number() over (order by {u(9, 'cell')}, cell) rn from c where v is not null) select cast(cell as bigint) cell, cast((rn - 1) // 64 as bigint) batch_id from r")
+def batches_with_tail(spark, d):
+    cube = ecube(spark, d)
+    return samples.batches(cube.known("v").select(cube.cell_number().alias("cell")), 64, 9, "cell", drop_last=False)
+
+
+@query("warm_start", L + """, m as materialized (select avg(qty) x, avg(price) y, avg(qty * qty) xx, avg(qty * price) xy from k where qty is not null)
+select round(2.0 - 0.002 * (2 * xx + 5 * x - xy), 4) qty, round(5.0 - 0.002 * (2 * x + 5 - y), 4) bias from m""")
+def warm_start(spark, d):
+    """One step from another model's parameters; a name that this one lacks is passed over."""
+    t = training.Trainer(["qty"], "price", rate=0.001, epochs=1, warm_start={"qty": 2.0, "bias": 5.0, "other": 1.0})
+    p = t.train(lcube(spark, d).observed)
+    return spark.createDataFrame([(round(p["qty"], 4), round(p["bias"], 4))], "qty double, bias double")
+
+
+@query("sample_callback", E + "select count(*) n, round(sum(2 * v), 4) total from c where chunk_id in (0, 3, 4) and v is not null")
+def sample_callback(spark, d):
+    cells = samples.SampleSet(ecube(spark, d), chunks=[0, 3, 4], scale_by=None, callback=lambda df: df.withColumn("v", F.col("v") * 2)).cells
+    return rounded(cells.agg(F.count("*").alias("n"), F.sum("v").alias("total")), "total", places=4)
+
+
+@query("pyramid_level", E + "select cast(i_t as bigint) i_t, count(*) cells, count(v) seen, round(sum(v), 4) total from c where i_h % 2 = 0 group by 1")
+def pyramid_level(spark, d):
+    """Every other hour written as level 1 of a pyramid and read back."""
+    cube, path = ecube(spark, d), scratch(spark, "pyramid")
+    sources.write_cube(cube, f"{path}/level=0", BLOCK)
+    sources.write_cube(selection.every(cube, "h", 2), f"{path}/level=1", BLOCK)
+    part = sources.read_cube(spark, path, cube.dims, level=1)
+    return rounded(part.df.groupBy("i_t").agg(F.count("*").alias("cells"), F.count("v").alias("seen"), F.sum("v").alias("total")), "total", places=4)
+
+
+@query("windowed_cells", "select cast(cast(ts as date) as varchar) as day, event_type, count(*) n, round(avg(value), 6) mean from events group by all")
+def windowed_cells(spark, d):
+    """Cells of a stream's daily windows; the last ones wait behind the watermark, so an even later row closes them."""
+    path, events = scratch(spark, "windows"), read_table(spark, d, "events").select("ts", "event_type", "value")
+    late = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    events.coalesce(1).write.parquet(f"{path}/in")
+    late.write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    # instants whose UTC clock shows ts, whatever the session's zone
+    instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))")
+    cells = streaming.windowed_cells(stream.withColumn("ts", instant), "ts", "1 day", "1 day", ["event_type"], {"n": F.count("*"), "mean": F.avg("value")})
+    q = cells.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(f"{path}/out").where("event_type <> 'end'")
+    return rounded(out.select(F.expr("cast(date_add(date'1970-01-01', cast(unix_micros(ts) div 86400000000 as int)) as string)").alias("day"), "event_type", "n", "mean"), "mean")

@@ -48,8 +48,42 @@ def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def whole_groups(samples: DataFrame, size: int, *order: str) -> DataFrame:
-    """The first floor(n / size) * size samples in order: what stores with fixed chunks can hold."""
-    from pyspark.sql import Window
-
-    n = samples.withColumn("_n", F.count("*").over(Window.partitionBy())).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    return n.where(F.col("_r") <= F.floor(F.col("_n") / size) * size).drop("_n", "_r")
+    """The first floor(n / size) * size samples in order: what stores with fixed chunks can hold.
+
+    order must tell rows apart. Fewer than size rows are left out, so they are found as a top-k; no task orders them all.
+    """
+    return _parted(samples, size, *order)[0]
+
+
+def _parted(samples: DataFrame, size: int, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Whole groups, and the last rows in order that fill none."""
+    last = samples.orderBy(*[F.col(c).desc() for c in order]).limit(samples.count() % size)
+    return samples.join(last.select(*order), list(order), "left_anti").select(*samples.columns), last
+
+
+def append_whole_groups(samples: DataFrame, path: str, size: int, *order: str) -> int:
+    """Append whole groups of samples and carry the rest to the next append; returns how many rows are carried.
+
+    The carried rows lie in <path>-rest/<k>; each append reads the latest and writes the next, so one that fails and is
+    repeated loses none.
+    """
+    spark = samples.sparkSession
+    rest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-rest")
+    files = rest.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [int(x.getPath().getName()) for x in files.listStatus(rest)] if files.exists(rest) else []
+    rows = samples.unionByName(spark.read.schema(samples.schema).parquet(f"{path}-rest/{max(found)}")) if found else samples
+    whole, last = _parted(rows, size, *order)
+    last.write.mode("overwrite").parquet(f"{path}-rest/{max(found, default=-1) + 1}")
+    whole.write.mode("append").parquet(path)
+    for k in found:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}-rest/{k}"), True)
+    return spark.read.schema(samples.schema).parquet(f"{path}-rest/{max(found, default=-1) + 1}").count()
+
+
+def list_results(spark: SparkSession, folder: str, pattern: str = "*_*.parquet") -> DataFrame:
+    """path and gap_size (the number after the last underscore of the name) of a folder's result sets."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    rows = [x.getPath().toString() for x in found]
+    df = spark.createDataFrame([(r,) for r in rows], "path string")
+    return df.withColumn("gap_size", F.regexp_extract("path", r"_([0-9.]+?)(?:\.[a-z]+)?$", 1).try_cast("double"))

@@ -350,3 +350,29 @@ def test_axis_too_long_is_an_error(spark, monkeypatch):
         cubes.from_cells(cells, ["k"]).sizes  # noqa: B018
     with pytest.raises(ValueError):
         cubes.from_table(cells, {"k": F.col("k")}, {"w": F.max("v")}).sizes  # noqa: B018
+
+
+def test_rest_is_carried(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    assert [sources.append_whole_groups(spark.range(a, b), path, 10, "id") for a, b in ((0, 7), (7, 25), (25, 31), (31, 40))] == [7, 5, 1, 0]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(40))
+
+
+def test_results_are_listed(spark, tmp_path):
+    for name in ("day_0.25", "day_0.1", "other"):
+        spark.range(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sources.list_results(spark, str(tmp_path)).orderBy("gap_size").collect()
+    assert [r["gap_size"] for r in got] == [0.1, 0.25] and got[0]["path"].endswith("day_0.1.parquet")
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    """A library that only they need is missing: the engine's queries stay, and it is said."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("cubespark.llm") or n in ("corpus_pipeline", "zstandard")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    monkeypatch.setitem(sys.modules, "cubespark.llm", None)
+    assert "gap_heat_map" in __spark_entry__.queries() and not any(n.startswith("op1_") for n in __spark_entry__.queries())
