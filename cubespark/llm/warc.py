@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import fresh_path, table
+from cubespark.llm.common import fresh_path, saved, table
 
 SALTS = 16
 
@@ -72,7 +72,8 @@ def with_origin(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int)
     """Each row's payload digest, and the smallest id of an equal payload where that isn't its own.
 
     Digests that occur once never leave the map side's partial sums as join keys with a partner; the row side is salted,
-    so that a payload of a third of the pages is dealt over many tasks.
+    so that a payload of a third of the pages is dealt over many tasks. A null payload is empty; a null id refers to the
+    smallest of its payload; rows tied on the smallest id refer to none; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), "url", F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("bigint")})
     first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("origin"), F.count("*").alias("n")).where("n > 1")
@@ -83,7 +84,11 @@ def with_origin(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int)
 
 
 def write_archives(rows: DataFrame, path: str, archive_bytes: int = 32 << 20) -> None:
-    """Write rows of with_origin as archives under path, one file a task, through Spark's text writer (any store)."""
+    """Write rows of with_origin as archives under path through Spark's text writer (any store).
+
+    An archive is closed once it has archive_bytes, so a file is at most that and one record. An empty table writes none;
+    null ids and URLs are left out of their record's header.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -110,13 +115,14 @@ def write_archives(rows: DataFrame, path: str, archive_bytes: int = 32 << 20) ->
         if parts:
             yield out()
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
+    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records under path in turn: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits).
 
-    A cut or altered record raises; an empty folder of archives gives no rows.
+    A cut or altered record raises; an empty folder of archives gives no rows. Each file is a row on its way to a worker,
+    where its members are inflated one after the other, so files must stay under 2 GB (write_archives rolls them).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +149,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
+def check_revisits(records: DataFrame) -> None:
+    """Raises if a revisit's digest and length aren't those of a response with the id that it refers to.
+
+    Revisits of one payload are one row before they meet responses.
+    """
+    said = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    bad = said.join(records.where("record_type = 'response'").select(*said.columns), said.columns, "left_anti").limit(1).collect()
+    if bad:
+        raise WarcError(f"a revisit refers to page {bad[0]['page_id']}, which has no response of its digest and length")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages tied on the smallest id with equal payloads are each a response; a null id revisits the smallest of its payload."""
     path = fresh_path(spark, "warc")
     write_archives(with_origin(table(spark, sf_dir, "pages"), "page_id", "html", 100), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = saved(read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    check_revisits(records)
+    return records
 
 
 OP9_SQL = """

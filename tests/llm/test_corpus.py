@@ -301,6 +301,21 @@ def test_archives(spark, folder):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_archives_are_rolled_and_checked(spark, tmp_path):
+    """Files stay small, odd rows come back, an empty table gives nothing, a revisit of nothing raises."""
+    rows = [(i, f"http://{i}", ("é" * 70 if i % 3 else "x" * 200) + str(i % 5)) for i in range(60)] + [(None, None, "é" * 70 + "1"), (None, "u", None), (70, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(warc.with_origin(pages.coalesce(1), "page_id", "html", 100), f"{tmp_path}/a", archive_bytes=2000)
+    assert len(list((tmp_path / "a").glob("part-*"))) > 3
+    got = warc.read_archives(spark, f"{tmp_path}/a")
+    warc.check_revisits(got)
+    assert sorted((-1 if r["page_id"] is None else r["page_id"], r["payload_digest"]) for r in got.collect()) == sorted((i if i is not None else -1, hashlib.sha256((t or "").encode()).hexdigest()) for i, _, t in rows)
+    with pytest.raises(warc.WarcError):
+        warc.check_revisits(got.where("record_type = 'revisit'"))
+    warc.write_archives(warc.with_origin(pages.limit(0), "page_id", "html", 100), f"{tmp_path}/b")
+    assert warc.read_archives(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_bad_archives():
     one = warc.record([("WARC-Type", "response"), ("WARC-Block-Digest", "sha256:" + hashlib.sha256(b"hi").hexdigest()), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(b"hi").hexdigest())], b"hi")
     assert [warc.parse(m)[1] for m in warc.members(one + one + b"\n" + one, chunk=7)] == [b"hi"] * 3
