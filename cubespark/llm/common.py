@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -121,6 +123,17 @@ def unpack(blob: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are gone.
+
+    What Python lets go of reaches the JVM a moment later, so it collects twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
+
+
 def release() -> None:
     """Give a Python worker's freed memory back to the system: workers live on beside the executor's JVM."""
     pa.default_memory_pool().release_unused()

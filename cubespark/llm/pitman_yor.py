@@ -4,8 +4,8 @@ Each word is a context with a restaurant of its own; all of them share one paren
 uniform. The corpus is kept as blocks of texts with packed token numbers. Each block sends its distinct word pairs to
 buckets of contexts as packed arrays; a bucket resamples its seatings by Gibbs, its restaurants sharing a parent of the
 bucket's own (a random part of all contexts), and sends back what a block's pairs keep of their counts. The tables of all
-buckets then are the customers of the corpus-wide parent, resampled in buckets of words. Predictive probabilities are
-averaged over samples, level by level. Buckets grow in number with the corpus, not in size.
+buckets, sample by sample, then are the customers of the corpus-wide parent, seated in buckets of words. Each sample gives
+predictive probabilities, which are averaged. Buckets grow in number with the corpus, not in size.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import crc_mod, mix64, pack, release, runs, saved, table, text_bytes, unpack
+from cubespark.llm.common import crc_mod, discard, free_shuffles, mix64, pack, release, runs, saved, table, text_bytes, unpack
 from cubespark.llm.seating import discount_of, reseat
 from cubespark.llm.wordhash import hash_words
 
@@ -45,7 +45,7 @@ def make_blocks(docs: DataFrame, block_bytes: int, hot_share: float) -> DataFram
         hot = np.flatnonzero(n > max(hot_share * len(token), 1))
         return {
             "pid": pid, "n_tokens": len(token), "doc_ids": _ids(ids), "sizes": (counts + 1).astype("<i4").tobytes(), "train": np.array(train, np.uint8).tobytes(),
-            "vocab": vocab.tobytes(), "counts": pack(n.astype("<i4")), "tokens": pack(token.astype("<i4")), "hot": [{"h": int(vocab[i].view(np.int64)), "c": int(n[i])} for i in hot],
+            "vocab": vocab.tobytes(), "counts": pack(n.astype("<i4")), "tokens": pack_tokens(token, n), "hot": [{"h": int(vocab[i].view(np.int64)), "c": int(n[i])} for i in hot],
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +67,18 @@ def make_blocks(docs: DataFrame, block_bytes: int, hot_share: float) -> DataFram
     return docs.mapInArrow(run, BLOCK_FIELDS)
 
 
+def pack_tokens(token: np.ndarray, n: np.ndarray) -> bytes:
+    """Token numbers as ranks by count, so that most are small, in planes of bytes."""
+    rank = np.empty(len(n), "<i4")
+    rank[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype="<i4")
+    return pack(rank[token].view(np.uint8).reshape(-1, 4).T, 3)
+
+
+def unpack_tokens(blob: bytes, n: np.ndarray) -> np.ndarray:
+    planes = unpack(blob, np.uint8).reshape(4, -1)
+    return np.argsort(-n, kind="stable")[np.ascontiguousarray(planes.T).reshape(-1).view("<i4")]
+
+
 def _ids(ids: list) -> bytes:
     return np.array([(0 if i is None else i, i is None) for i in ids], "<i8,<i1").tobytes()
 
@@ -80,7 +92,7 @@ def block_pairs(row: dict, buckets: int, hot: np.ndarray):
 
     Pairs of hot contexts are dealt over all buckets by the pair.
     """
-    vocab, w = np.frombuffer(row["vocab"], U), unpack(row["tokens"], "<i4").astype(np.int64)
+    vocab, w = np.frombuffer(row["vocab"], U), unpack_tokens(row["tokens"], unpack(row["counts"], "<i4"))
     end = np.searchsorted(vocab, END)
     u = np.concatenate(([end], w[:-1]))
     code = u * len(vocab) + w
@@ -115,7 +127,7 @@ def pair_pieces(blocks: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 del rows, bucket, pu, hu, hw, count, _
                 release()
 
-    fields = blocks.select("pid", "sizes", "train", "vocab", "tokens")
+    fields = blocks.select("pid", "sizes", "train", "vocab", "counts", "tokens")
     return fields.mapInArrow(run, "bucket int, pid bigint, ctx binary, runs binary, words binary, counts binary")
 
 
@@ -130,11 +142,11 @@ def longer(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(U)
 
 
-def resample(ctx: np.ndarray, word: np.ndarray, count: np.ndarray, many: np.ndarray, sweeps: int, burn: int, seed: int):
+def resample(ctx: np.ndarray, word: np.ndarray, count: np.ndarray, many: np.ndarray, sweeps: int, burn: int, seed: int) -> tuple[float, list[np.ndarray]]:
     """Gibbs sweeps over one bucket's restaurants and their parent.
 
     ctx, word: numbers of each pair's context and word; many: by how much a context's tables here stand for more elsewhere.
-    Returns the discount and each pair's average number of tables.
+    Returns the discount and each pair's number of tables in each sample, a sample a sweep after the first burn ones.
     """
     rng = np.random.default_rng(seed)
     n_ctx, n_word = int(ctx.max()) + 1, int(word.max()) + 1
@@ -142,7 +154,7 @@ def resample(ctx: np.ndarray, word: np.ndarray, count: np.ndarray, many: np.ndar
     tables = np.minimum(count, 1)
     own = np.bincount(word, weights=tables, minlength=n_word).astype(np.int64)
     above = np.minimum(own, 1)
-    total = np.zeros(len(count))
+    samples = []
     for sweep in range(sweeps):
         d0 = discount_of(own)
         mass = (PARENT_STRENGTH + d0 * above.sum()) / max(n_word, 1)
@@ -154,12 +166,12 @@ def resample(ctx: np.ndarray, word: np.ndarray, count: np.ndarray, many: np.ndar
         start = (PARENT_STRENGTH + d0 * np.maximum(above.sum() - above, 0)) / max(n_word, 1)
         above = reseat(own, start, np.full(n_word, d0 / max(n_word, 1)), d0, rng)
         if sweep >= burn:
-            total += tables
-    return discount, total / max(sweeps - burn, 1)
+            samples.append(tables.astype(np.int32))
+    return discount, samples
 
 
-MODEL = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("values", pa.binary())])
-MODEL_FIELDS = "kind string, key bigint, part int, hashes binary, values binary"
+MODEL = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("part", pa.int32()), ("discount", pa.float64()), ("hashes", pa.binary()), ("values", pa.binary())])
+MODEL_FIELDS = "kind string, key bigint, part int, discount double, hashes binary, values binary"
 
 
 def seat_buckets(pieces: DataFrame, buckets: int, word_buckets: int, hot: np.ndarray, sweeps: int, burn: int) -> DataFrame:
@@ -187,16 +199,17 @@ def seat_buckets(pieces: DataFrame, buckets: int, word_buckets: int, hot: np.nda
             words, word = np.unique(hw[first[seen]], return_inverse=True)
             many = np.where(np.isin(ctxs, hot), float(buckets), 1.0)
             discount, tables = resample(ctx, word, count[seen], many, sweeps, burn, int(rows[0]["bucket"]) + 1)
-            kept[seen] = count[seen] - discount * tables
-            for kind, hashes, value in (("w", words, np.bincount(word, weights=tables)), ("c", ctxs, discount * np.bincount(ctx, weights=tables))):
-                bucket = word_bucket(hashes, word_buckets)
+            kept[seen] = count[seen] - discount * sum(tables) / len(tables)
+            for kind, hashes, value in (("w", words, [np.bincount(word, weights=t) for t in tables]), ("c", ctxs, [np.bincount(ctx, weights=t) for t in tables])):
+                bucket, value = word_bucket(hashes, word_buckets), np.stack(value)
                 for k in np.unique(bucket).tolist():
                     at = bucket == k
-                    out.append({"kind": kind, "key": k, "part": int(rows[0]["bucket"]), "hashes": short(hashes[at]) if kind == "w" else hashes[at].tobytes(), "values": pack(value[at].astype("<f4"))})
+                    out.append({"kind": kind, "key": k, "part": int(rows[0]["bucket"]), "discount": discount, "hashes": short(hashes[at]) if kind == "w" else hashes[at].tobytes(), "values": pack(value[:, at].astype("<i4"))})
+            del tables
         at = 0
         for r, s in zip(rows, sizes, strict=True):
             m = int(s.sum())
-            out.append({"kind": "x", "key": r["pid"], "part": r["bucket"], "hashes": None, "values": pack(kept[which[at : at + m]].astype("<f4"))})
+            out.append({"kind": "x", "key": r["pid"], "part": r["bucket"], "discount": None, "hashes": None, "values": pack(kept[which[at : at + m]].astype("<f4"), 3)})
             at += m
         made = pa.Table.from_pylist(out, MODEL)
         del rows, hu, hw, n, key, order, which, out
@@ -222,18 +235,19 @@ def word_pieces(blocks: DataFrame, word_buckets: int) -> DataFrame:
                 rows = []
                 for a, b in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
                     at = order[a:b]
-                    rows.append({"kind": "v", "key": int(bucket[at[0]]), "part": None, "pid": row["pid"], "hashes": vocab[at].tobytes(), "values": pack(n[at])})
+                    rows.append({"kind": "v", "key": int(bucket[at[0]]), "part": None, "discount": None, "pid": row["pid"], "hashes": vocab[at].tobytes(), "values": pack(n[at])})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([*MODEL, ("pid", pa.int64())])
     return blocks.select("pid", "vocab", "counts").mapInArrow(run, MODEL_FIELDS + ", pid bigint")
 
 
-WORDS = pa.schema([("pid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("kept", pa.binary()), ("fresh", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("customers", pa.float64()), ("kept_sum", pa.float64())])
+WORDS = pa.schema([("pid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("kept", pa.binary()), ("fresh", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("customers", pa.list_(pa.float64())), ("kept_sum", pa.list_(pa.float64()))])
 
 
-def seat_words(pieces: DataFrame, word_buckets: int, sweeps: int, burn: int) -> DataFrame:
-    """Per word bucket: training counts, what the corpus-wide parent keeps of each word, and each context's fresh mass."""
+def seat_words(pieces: DataFrame, word_buckets: int, samples: int) -> DataFrame:
+    """Per word bucket: training counts, and in each sample what the corpus-wide parent keeps of each word and each
+    context's fresh mass. A sample's tables below are the customers that are seated here."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -241,66 +255,91 @@ def seat_words(pieces: DataFrame, word_buckets: int, sweeps: int, burn: int) ->
         words, which = np.unique(np.concatenate([np.frombuffer(r["hashes"], U) for r in blocks]), return_inverse=True)
         count = np.bincount(which, weights=np.concatenate([unpack(r["values"], "<i4") for r in blocks])).astype(np.int64)
         brief = words >> U(24) << U(24)
-        tables, fresh = np.zeros(len(words)), np.zeros(len(words))
+        customers, fresh = np.zeros((samples, len(words)), np.int64), np.zeros((samples, len(words)))
         for r in rows:
-            if r["kind"] == "w":
-                at = np.searchsorted(brief, longer(r["hashes"]))
-                np.add.at(tables, at, unpack(r["values"], "<f4").astype(float))
-            elif r["kind"] == "c":
-                np.add.at(fresh, np.searchsorted(words, np.frombuffer(r["hashes"], U)), unpack(r["values"], "<f4").astype(float))
-        customers = np.rint(tables).astype(np.int64)
-        kept = np.zeros(len(words))
-        if customers.any():
-            rng = np.random.default_rng(int(blocks[0]["key"]) + 1)
-            d0, above, total = discount_of(customers), np.minimum(customers, 1), np.zeros(len(words))
-            v = len(words) * word_buckets
-            for sweep in range(sweeps):
+            if r["kind"] in "wc":
+                value = unpack(r["values"], "<i4").reshape(samples, -1)
+                at = np.searchsorted(brief, longer(r["hashes"])) if r["kind"] == "w" else np.searchsorted(words, np.frombuffer(r["hashes"], U))
+                for k in range(samples):
+                    np.add.at(customers[k] if r["kind"] == "w" else fresh[k], at, value[k] if r["kind"] == "w" else r["discount"] * value[k])
+        kept = np.zeros((samples, len(words)))
+        v = len(words) * word_buckets
+        rng = np.random.default_rng(int(blocks[0]["key"]) + 1)
+        for k in range(samples if customers.any() else 0):
+            d0, above = discount_of(customers[k]), np.minimum(customers[k], 1)
+            for _ in range(2):
                 start = (PARENT_STRENGTH + d0 * np.maximum(above.sum() * word_buckets - above, 0)) / v
-                above = reseat(customers, start, np.full(len(words), d0 / v), d0, rng)
-                if sweep >= burn:
-                    total += above
-            kept = customers - d0 * total / max(sweeps - burn, 1)
-        out, at = [{"pid": -1, "n": int(count.sum()), "v": int((count > 0).sum()), "customers": float(customers.sum()), "kept_sum": float(kept.sum())}], 0
+                above = reseat(customers[k], start, np.full(len(words), d0 / v), d0, rng)
+            kept[k] = customers[k] - d0 * above
+        out, at = [{"pid": -1, "n": int(count.sum()), "v": int((count > 0).sum()), "customers": customers.sum(axis=1).astype(float).tolist(), "kept_sum": kept.sum(axis=1).tolist()}], 0
         for r in blocks:
             i = which[at : at + len(r["hashes"]) // 8]
             at += len(i)
-            out.append({"pid": r["pid"], "part": r["key"], "counts": pack(count[i]), "kept": pack(kept[i].astype("<f4")), "fresh": pack(fresh[i].astype("<f4"))})
+            out.append({"pid": r["pid"], "part": r["key"], "counts": pack(count[i], 3), "kept": pack(kept[:, i].astype("<f4"), 3), "fresh": pack(fresh[:, i].astype("<f4"), 3)})
         made = pa.Table.from_pylist(out, WORDS)
-        del rows, blocks, words, which, brief, tables, fresh, kept, out
+        del rows, blocks, words, which, brief, customers, fresh, kept, out
         release()
         return made
 
-    return pieces.groupBy("key").applyInArrow(run, "pid bigint, part int, counts binary, kept binary, fresh binary, n bigint, v bigint, customers double, kept_sum double")
+    return pieces.groupBy("key").applyInArrow(run, "pid bigint, part int, counts binary, kept binary, fresh binary, n bigint, v bigint, customers array<double>, kept_sum array<double>")
+
+
+def hot_contexts(blocks: DataFrame, share: float, total: int) -> np.ndarray:
+    """Sorted hashes of the contexts with at least a share of all tokens; at most 1 / share.
+
+    Blocks list what has half the share of their own tokens. What is listed adds up to half the share at least for each
+    context wanted; those (at most 2 / share) are then counted in all blocks, so that the outcome doesn't depend on blocks.
+    """
+    listed = blocks.select(F.explode("hot").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).where(F.col("c") >= share / 2 * total).select("h").collect()
+    names = np.sort(np.array([r["h"] for r in listed], np.int64).view(U))
+    if not len(names):
+        return names
+    shared = blocks.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for vocab, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                both, _, at = np.intersect1d(shared.value, np.frombuffer(vocab, U), assume_unique=True, return_indices=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(unpack(counts, "<i4")[at].astype(np.int64))], ["h", "c"])
+
+    counted = blocks.select("vocab", "counts").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= share * total)
+    return np.sort(np.array([r["h"] for r in counted.select("h").collect()], np.int64).view(U))
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, sweeps: int = 4, burn: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, sweeps: int = 4, burn: int = 1, bucket_bytes: int = 10 << 20, least_buckets: int = 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every text.
 
     held_out is a Boolean column of docs; the model learns from all other rows. A null or empty text is its end alone;
     repeated rows count and come back each; null ids are kept; an empty table gives no rows; other columns aren't read.
-    Words of more than 64 bytes, like all, are told apart by 64-bit hashes (40 bits beside their context's 64). Perplexity
-    of a text is 10 ** (-score / n_tokens).
+    Words of more than 64 bytes, like all, are told apart by 64-bit hashes (40 bits beside their context's 64). There is a
+    bucket of contexts for each bucket_bytes of text, so scores are the same however the table is laid out. Perplexity of a
+    text is 10 ** (-score / n_tokens).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint"), (~held_out).alias("train"), F.col(text_col))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(16, min(size // (6 << 20), 1 << 20))
-    word_buckets = max(16, buckets // 2)
-    share = 1 / (16 * buckets)
-    blocks = saved(make_blocks(docs, block_bytes, share), "blocks", batch_rows=500)
-    # a context with more than twice that share of all tokens has more than it in some block; so few can have it
-    hot = blocks.select(F.explode("hot").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c"))
-    total = blocks.agg(F.sum("n_tokens")).first()[0]
-    if total is None:
+    size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
+    if not size[1]:
         return spark.createDataFrame([], SCORES)
-    hot = np.array([r["h"] for r in hot.where(F.col("c") >= int(share * total)).select("h").collect()], np.int64).view(U)
+    buckets = max(least_buckets, min((size[0] or 0) // bucket_bytes, 1 << 20))
+    word_buckets = max(least_buckets, buckets // 2)
+    share, samples = 1 / (16 * buckets), sweeps - burn
+    blocks = saved(make_blocks(docs, block_bytes, share / 2), "blocks", batch_rows=500)
+    hot = hot_contexts(blocks, share, blocks.agg(F.sum("n_tokens")).first()[0])
     model = saved(seat_buckets(pair_pieces(blocks, buckets, hot), buckets, word_buckets, hot, sweeps, burn), "seats")
+    free_shuffles(spark)
     pieces = word_pieces(blocks, word_buckets).unionByName(model.where("kind <> 'x'").withColumn("pid", F.lit(None).cast("bigint")))
-    words = saved(seat_words(pieces, word_buckets, sweeps, burn), "words")
-    n, v, customers, kept_sum = words.where("pid = -1").agg(F.sum("n"), F.sum("v"), F.sum("customers"), F.sum("kept_sum")).first()
+    words = saved(seat_words(pieces, word_buckets, samples), "words")
+    # what pairs keep is all that is still wanted of the seats
+    seats, model = model, saved(model.where("kind = 'x'").select("key", "kind", "part", "values"), "kept")
+    discard(seats)
+    del pieces, seats
+    free_shuffles(spark)
+    sums = [F.sum(F.col(c)[k]) for c in ("customers", "kept_sum") for k in range(samples)]
+    n, v, *both = words.where("pid = -1").agg(F.sum("n"), F.sum("v"), *sums).first()
+    customers, kept_sum = np.array(both[:samples])[:, None], np.array(both[samples:])[:, None]
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -311,19 +350,23 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         by = word_bucket(vocab, word_buckets)
         order = np.argsort(by, kind="stable")
         word_edge = np.searchsorted(by[order], np.arange(word_buckets + 1))
-        count, kept, fresh = np.zeros(len(vocab), np.int64), np.zeros(len(vocab)), np.zeros(len(vocab))
+        count, kept, fresh = np.zeros(len(vocab), np.int64), np.zeros((samples, len(vocab))), np.zeros((samples, len(vocab)))
         for r in rows:
             k = r["part"]
             if r["kind"] == "x":
                 kept_pair[edge[k] : edge[k + 1]] = unpack(r["values"], "<f4")
             elif r["kind"] == "words":
                 at = order[word_edge[k] : word_edge[k + 1]]
-                count[at], kept[at], fresh[at] = unpack(r["counts"], "<i8"), unpack(r["kept"], "<f4"), unpack(r["fresh"], "<f4")
+                count[at], kept[:, at], fresh[:, at] = unpack(r["counts"], "<i8"), unpack(r["kept"], "<f4").reshape(samples, -1), unpack(r["fresh"], "<f4").reshape(samples, -1)
         p = (kept + (PARENT_STRENGTH + customers - kept_sum) / (v + 1)) / (PARENT_STRENGTH + customers)
         ratio = (STRENGTH + fresh) / (STRENGTH + count)
-        log = np.log10(kept_pair[pair] / (STRENGTH + count[u]) + ratio[u] * p[w])
+        # the mean over samples of each sample's predictive probability; what pairs keep is a mean already
+        log = kept_pair[pair] / (STRENGTH + count[u])
+        for k in range(samples):
+            log += ratio[k][u] * p[k][w] / samples
+        log = np.log10(log)
         base = np.log10((count + 1) / (n + v + 1))[w]
-        del rows, kept_pair, pair, u, order, bucket
+        del rows, kept_pair, pair, u, order, bucket, kept, fresh, p, ratio
         release()
         sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
         start = np.cumsum(sizes) - sizes
@@ -336,10 +379,11 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     empty = F.lit(None).cast("binary")
-    left = blocks.select("pid", F.lit("block").alias("kind"), F.lit(None).cast("int").alias("part"), empty.alias("values"), empty.alias("counts"), empty.alias("kept"), empty.alias("fresh"), "doc_ids", "sizes", "train", "vocab", "tokens")
+    left = blocks.select("pid", F.lit("block").alias("kind"), F.lit(None).cast("int").alias("part"), empty.alias("values"), "counts", empty.alias("kept"), empty.alias("fresh"), "doc_ids", "sizes", "train", "vocab", "tokens")
     none = [empty.alias(c) for c in ("doc_ids", "sizes", "train", "vocab", "tokens")]
-    middle = model.where("kind = 'x'").select(F.col("key").alias("pid"), "kind", "part", "values", empty.alias("counts"), empty.alias("kept"), empty.alias("fresh"), *none)
+    middle = model.select(F.col("key").alias("pid"), "kind", "part", "values", empty.alias("counts"), empty.alias("kept"), empty.alias("fresh"), *none)
     right = words.where("pid >= 0").select("pid", F.lit("words").alias("kind"), "part", empty.alias("values"), "counts", "kept", "fresh", *none)
+    # the last stage reads all three tables, so they stay
     return left.unionByName(middle).unionByName(right).groupBy("pid").applyInArrow(run, SCORES)
 
 

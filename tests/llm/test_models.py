@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubespark.llm import language, pitman_yor, quality, seating, wordhash
+from cubespark.llm.common import crc_mod
 
 
 def crc(i):
@@ -44,6 +45,94 @@ def test_probabilities_sum_to_one(spark):
     assert s[""] + first @ np.linalg.inv(np.eye(5) - step) @ np.ones(5) == pytest.approx(1.0, abs=1e-4)
 
 
+def test_scores_of_any_layout(spark, folder):
+    """The same rows in one file or in many, sorted or not, score the same."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 900000")
+    told = lambda df, **k: [(r["doc_id"], round(r["score"], 6)) for r in pitman_yor.score_texts(df, crc_mod(F.col("doc_id"), 7) == 2, **k).orderBy("doc_id").collect()]
+    one = told(docs.coalesce(1))
+    assert one == told(docs.repartition(7)) == told(docs.orderBy(F.desc("doc_id")), block_bytes=40_000)
+
+
+def plain_gibbs(train, ask, sweeps=400, burn=100):
+    """Customers seated one by one: mean log10 predictive probabilities of texts under the same two-level model."""
+    rng, rows = np.random.default_rng(1), []
+    for t in train:
+        w = t.split() + [None]
+        rows += list(zip([None, *w[:-1]], w, strict=True))
+    known = {w for _, w in rows}
+    pairs = Counter(rows)
+    d = seating.discount_of(np.array(list(pairs.values())))
+    rest, top = {}, {}  # (context, word): table sizes; word: sizes of the parent's tables
+
+    def parent(w):
+        n, m = sum(map(sum, top.values())), sum(map(len, top.values()))
+        own = top.get(w, [])
+        return (sum(own) - d0 * len(own) + (1 + d0 * m) / (len(known) + 1)) / (1 + n)
+
+    def pick(weights):
+        x = rng.random() * sum(weights)
+        for i, y in enumerate(weights):
+            x -= y
+            if x < 0:
+                return i
+        return len(weights) - 1
+
+    def seat(u, w):
+        own = rest.setdefault((u, w), [])
+        m = sum(len(v) for (a, _), v in rest.items() if a == u)
+        i = pick([x - d for x in own] + [(1 + d * m) * parent(w)])
+        if i < len(own):
+            own[i] += 1
+            return
+        own.append(1)
+        above = top.setdefault(w, [])
+        j = pick([x - d0 for x in above] + [(1 + d0 * sum(map(len, top.values()))) / (len(known) + 1)])
+        if j < len(above):
+            above[j] += 1
+        else:
+            above.append(1)
+
+    def leave(u, w):
+        own = rest[u, w]
+        i = pick(own)
+        own[i] -= 1
+        if not own[i]:
+            own.pop(i)
+            above = top[w]
+            j = pick(above)
+            above[j] -= 1
+            if not above[j]:
+                above.pop(j)
+
+    d0 = 0.5
+    for u, w in rows:
+        seat(u, w)
+    total = {}
+    for sweep in range(sweeps):
+        d0 = seating.discount_of(np.array([sum(x) for x in top.values()]))
+        for u, w in rows:
+            leave(u, w)
+            seat(u, w)
+        if sweep >= burn:
+            for u, w in ask:
+                n, m = sum(c for (a, _), c in pairs.items() if a == u), sum(len(v) for (a, _), v in rest.items() if a == u)
+                own = rest.get((u, w), [])
+                p = (sum(own) - d * len(own) + (1 + d * m) * parent(w)) / (1 + n)
+                total[u, w] = total.get((u, w), 0) + p / (sweeps - burn)
+    return total
+
+
+def test_scores_like_a_plain_sampler(spark):
+    train = ["a b a c a b", "a b b a", "c a a d", "b a b a b", "d d a b c", "a b a b a c", "e a b", "b c a b a"] * 2
+    ask = [f"{x} {y}" for x in "abcde" for y in "abcdez"]
+    df = spark.createDataFrame([*enumerate(train), *((100 + k, t) for k, t in enumerate(ask))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(df, F.col("doc_id") >= 100, sweeps=60, burn=10, least_buckets=1).collect()}
+    steps = [(None, x) for x in "abcde"] + [(x, y) for x in "abcde" for y in "abcdez"] + [(x, None) for x in "abcdez"]
+    p = plain_gibbs(train, steps)
+    far = [got[100 + k] - sum(math.log10(p[s]) for s in ((None, t[0]), (t[0], t[2]), (t[2], None))) for k, t in enumerate(ask)]
+    assert max(map(abs, far)) < 0.12 and abs(np.mean(far)) < 0.04
+
+
 def test_reseat_against_enumeration():
     """Table numbers of three customers: weights a (1-d)(2-d)..., as in the Chinese restaurant process."""
     rng, d, a, b = np.random.default_rng(0), 0.4, 0.7, 0.2
