@@ -85,7 +85,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """The rows with each secret in the text replaced by [kind]; columns and their order stay, null texts stay null."""
+    """The rows with each secret in the text replaced by [kind]; columns and their order stay, whatever their names.
+
+    Null and empty texts stay as they are; repeated rows are treated alike; of overlapping secrets the first is named and
+    all are taken out; an empty table gives no rows.
+    """
     scan = [(r, re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.ignore_case else 0))) for r in rules]
     queries = [derive(r.pattern) for r in rules]
     vocabulary = Vocabulary(queries)

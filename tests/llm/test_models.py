@@ -1,6 +1,7 @@
 """Language model, quality classifier, language identification."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -258,6 +259,51 @@ def test_labels_are_optimal():
         assert path_value(own, labels[doc == i], 3.0) == pytest.approx(plain_viterbi(own, 3.0))
 
 
+def test_predictions_by_plain_viterbi(spark):
+    """lang_pred, score and spans of small mixed texts against counts and a search written out in full."""
+    import unicodedata
+
+    rng = np.random.default_rng(7)
+    vocabulary = {"en": ["the", "cat", "house", "with", "that"], "de": ["der", "hund", "nicht", "mit", "haus"], "ru": ["дом", "кот", "и", "не", "она"]}
+    rows = [(k, " ".join(rng.choice(vocabulary[lang], 12)), lang) for k in range(60) for lang in [("en", "de", "ru")[k % 3]]]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [" ".join(" ".join(rng.choice(vocabulary[x], rng.integers(1, 6))) for x in rng.choice(["en", "de", "ru"], rng.integers(1, 4))) for _ in range(60)] + ["cat, DER-hund! 42 дом", "x", "12"]
+    got = language.label_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, penalty=4.0).orderBy("doc_id").collect()
+
+    def code(a, b, c):
+        a, b, c = (ord(x) if x else 32 for x in (a, b, c))
+        return ((a * 0x9E3779B1 ^ b * 0x85EBCA6B) * 5 ^ c * 0xC2B2AE35) * 0x27D4EB2F % (1 << 32) >> 16
+
+    for r, text in zip(got, texts, strict=True):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text)]
+        if not words:
+            assert r["lang_pred"] == "und"
+            continue
+        score = []
+        for s, e in words:
+            w = [None, *text[s:e].lower(), None]
+            script = "cyrillic" if "CYRILLIC" in unicodedata.name(text[s]) else "latin"
+            score.append(sum(model.log[code(*w[i : i + 3])].astype(float) for i in range(e - s)) + model.barred[language.NAMES.index(script)])
+        score = np.array(score)
+        best, back = score[0].copy(), []
+        for t in range(1, len(score)):
+            moves = best[:, None] - 4.0 * (1 - np.eye(3))
+            back.append(moves.argmax(axis=0))
+            best = moves.max(axis=0) + score[t]
+        labels = [int(best.argmax())]
+        for b in reversed(back):
+            labels.insert(0, int(b[labels[0]]))
+        letters = np.bincount(labels, weights=[e - s for s, e in words], minlength=3)
+        assert r["lang_pred"] == model.langs[int(letters.argmax())] and r["score"] == pytest.approx(letters.max() / letters.sum())
+        spans = []
+        for (s, e), x in zip(words, labels, strict=True):
+            if spans and spans[-1][2] == model.langs[x]:
+                spans[-1][1] = e
+            else:
+                spans.append([s, e, model.langs[x]])
+        assert [[x["start"], x["end"], x["lang"]] for x in r["spans"]] == spans
+
+
 def test_mixed_text_has_spans(spark):
     rows = [(i, "the cat and the dog went to the house with that hat", "en") for i in range(20)] + [(100 + i, "der hund und die katze gehen nicht zu dem haus mit dem hut", "de") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

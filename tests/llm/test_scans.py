@@ -54,6 +54,27 @@ def test_secrets_edges(spark, edge_docs, empty):
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, "my [assign] ok", "a"), (2, None, "b")]
 
 
+def test_rules_against_a_full_scan(spark, docs):
+    """Every rule's spans, with and without the index; texts that hold pieces of many patterns."""
+    rng = np.random.default_rng(9)
+    parts = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "aB3" * 13, "xoxb-1234567890-ab", "AIza" + "x" * 35, "sk_live_" + "0" * 16, "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + ".cccccccc", "Bearer " + "t" * 22, "bearer x",
+             "password = hunter2hunter2", "AKIA" + "A" * 16, "0123456789abcdef" * 2, "gh", "xox", "AIz", "eyJ.eyJ", "BEGIN PRIVATE KEY", "é", " ", "\n"]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 6))) for _ in range(300)] + ["".join(rng.choice(parts, 4)) for _ in range(200)] + [t for _, t in docs if t]
+    every = secrets.BASE_RULES + secrets.MORE_RULES
+    compiled = [(r, re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.ignore_case else 0))) for r in every]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan_secrets(df).collect():
+        want = sorted((s, k, e) for k, (rule, regex) in enumerate(compiled) for s, e in secrets.find(rule, regex, texts[r["doc_id"]]))
+        assert [(x["start"], x["kind"], x["end"]) for x in r["spans"]] == [(s, every[k].kind, e) for s, k, e in want]
+
+
+def test_redact_edges(spark, edge_docs, empty):
+    assert sorted(map(str, secrets.redact(edge_docs).collect())) == sorted(map(str, edge_docs.collect()))
+    assert secrets.redact(empty).count() == 0
+    twice = spark.createDataFrame([(None, "token=abcdefgh12"), (1, "token=abcdefgh12"), (1, "token=abcdefgh12")], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(twice).collect()] == ["[assign]"] * 3
+
+
 def test_trigram_queries():
     assert trigram.derive("[0-9a-f]+").op == "any"
     q = trigram.derive("(foo|ba[rz])x+y")
