@@ -88,11 +88,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words and fails; documents with a null host share one host; repeated rows count each; an empty table gives none.
     """
     measured = saved(measure(docs, id_col, text_col, host_col).withColumn("failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))), "rules")
-    rates = host_rates(measured).select(F.coalesce("host", F.lit("")).alias("_h"), F.col("host").isNull().alias("_null"), "host_rate")
-    # Salted by row, so that a host with a third of the documents is dealt over many tasks; hosts are copied once a salt.
-    salts = 32
-    rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = measured.withColumns({"_h": F.coalesce("host", F.lit("")), "_null": F.col("host").isNull(), "_salt": F.pmod(F.xxhash64(id_col, "word_chars", "n_symbols"), F.lit(salts)).cast("int")})
+    hosts = saved(host_rates(measured), "hosts")
+    rates = hosts.select(F.coalesce("host", F.lit("")).alias("_h"), F.col("host").isNull().alias("_null"), "host_rate")
+    # Salted by row, so that a host with a third of the documents is dealt over many tasks; of hosts with at least one
+    # document in a thousand, which are at most a thousand, there is a copy a salt.
+    salts, total = 32, hosts.agg(F.sum("docs")).first()[0] or 0
+    hot = [r[0] for r in hosts.where(F.col("docs") * 1000 >= total).select(F.coalesce("host", F.lit(""))).collect()]
+    rates = rates.withColumn("_salt", F.explode(F.when(F.col("_h").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    rows = measured.withColumns({"_h": F.coalesce("host", F.lit("")), "_null": F.col("host").isNull()})
+    rows = rows.withColumn("_salt", F.when(F.col("_h").isin(hot), F.pmod(F.xxhash64(id_col, "word_chars", "n_symbols"), F.lit(salts)).cast("int")).otherwise(0))
     return rows.join(rates, ["_h", "_null", "_salt"], "left").drop("_h", "_null", "_salt").withColumn("host_kept", F.coalesce(F.col("host_rate") <= max_host_rate, F.lit(True)))
 
 

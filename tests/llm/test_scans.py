@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cubespark.llm import pii, rules, secrets, trigram
 
@@ -201,6 +202,17 @@ def test_bad_host_goes(spark, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
+def test_hosts_large_and_small(spark):
+    """Each row gets its own host's rate, whether the host is salted or has hardly a document, null or an empty name."""
+    good = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, good if i % 10 else "short", f"h{i % 4}") for i in range(200)] + [(3000 + k, good, f"seldom{k}") for k in range(2000)] + [(6000, "short", ""), (6001, good, None), (6001, good, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    failed = rules.measure(df, "doc_id", "text", "source").withColumn("failed", F.col("n_words") < 50)
+    want = {r["host"]: r["host_rate"] for r in rules.host_rates(failed).collect()}
+    got = rules.quality_rules(df).collect()
+    assert len(got) == len(rows) and all(r["host_rate"] == pytest.approx(want[r["host"]]) for r in got)
+
+
 @pytest.mark.parametrize("width", [2, 3])
 def test_repeat_words_of_many(width):
     words = [b"a", b"b", b"c", b"a", b"b", b"c", b"d"] + [str(i).encode() for i in range(50)]
