@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,16 +39,6 @@ def mape() -> Column:
     return F.avg(F.abs(_error() / F.nullif(F.col("y"), F.lit(0.0)))) * 100
 
 
-def median_ae(kind: str = "lower") -> Column:
-    """lower, middle or upper of the two middle errors."""
-    a = F.abs(_error())
-    if kind == "middle":
-        return F.median(a)
-    if kind == "lower":
-        return F.expr("percentile_disc(0.5) within group (order by abs(y - p))")
-    return -F.expr("percentile_disc(0.5) within group (order by -abs(y - p))")
-
-
 def explained_variance() -> Column:
     return 1 - F.var_pop(_error()) / F.nullif(F.var_pop("y"), F.lit(0.0))
 
@@ -57,7 +47,46 @@ def accuracy() -> Column:
     return F.avg((F.col("y") == F.col("p")).cast("double"))
 
 
-REGRESSION: dict[str, Callable[..., Column]] = {"mae": mae, "mse": mse, "rmse": rmse, "r2": r2, "huber_loss": huber, "mape": mape, "med_ae": median_ae, "explained_variance": explained_variance, "accuracy": accuracy}
+REGRESSION: dict[str, Callable[..., Column]] = {"mae": mae, "mse": mse, "rmse": rmse, "r2": r2, "huber_loss": huber, "mape": mape, "explained_variance": explained_variance, "accuracy": accuracy}
+
+
+def _first_bucket(e: Column) -> Column:
+    """About e ** (1 / 1024) in steps of 2 ** -17: roots are rounded exactly, so the order holds; infinity and NaN last."""
+    root = reduce(lambda x, _: F.sqrt(x), range(10), e)
+    return F.floor(F.when(F.isnan(e), 4.0).when(e == float("inf"), 3.0).otherwise(root) * 2**17)
+
+
+def _hold(buckets: DataFrame, rank: Column) -> DataFrame:
+    """The bucket of each sought rank (counted from 0): its extremes lo and hi, and the rank in it."""
+    below = F.sum("n").over(Window.partitionBy("sought").orderBy("bucket")) - F.col("n")
+    b = buckets.select("sought", "lo", "hi", "n", below.alias("below"), rank.alias("rank"))
+    return b.where("below <= rank and rank < below + n").selectExpr("sought", "lo", "hi", "rank - below as rank")
+
+
+def _middle_errors(df: DataFrame, sought: tuple[str, ...]) -> DataFrame:
+    """A row for each of lower and upper that is sought, with that middle error in lo and hi; none without errors.
+
+    df is read four times, as a task holds counts of buckets and no list of errors: a first bucket spans at most 2 ** 47.1 steps
+    between doubles, each reading after it parts the held one in 2 ** 16, and the fourth leaves one value.
+    """
+    errors = df.select(F.abs(_error()).cast("double").alias("e")).where("e is not null")
+    counts = [F.count("*").alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi")]
+    first = errors.groupBy(_first_bucket(F.col("e")).alias("bucket")).agg(*counts)
+    half = F.expr("(sum(n) over (partition by sought) - int(sought = 'lower')) div 2")
+    held = _hold(first.withColumn("sought", F.explode(F.array(*map(F.lit, sought)))), half)
+    part = F.when(F.col("lo") < F.col("hi"), F.floor((F.col("e") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 2**16)).otherwise(0)
+    for _ in range(3):
+        held = _hold(errors.join(F.broadcast(held), F.col("e").between(F.col("lo"), F.col("hi"))).groupBy("sought", "rank", part.alias("bucket")).agg(*counts), F.col("rank"))
+    return held
+
+
+def median_ae(df: DataFrame, kind: str = "lower") -> DataFrame:
+    """lower, middle or upper of the two middle errors."""
+    if kind == "middle":
+        return df.agg(F.median(F.abs(_error())).alias("med_ae"))
+    if kind == "upper":
+        return df.agg((-F.expr("percentile_disc(0.5) within group (order by -abs(y - p))")).alias("med_ae"))
+    return _middle_errors(df, ("lower",)).agg(F.max("lo").alias("med_ae"))
 
 
 def predicted_class(scores: Column) -> Column:
@@ -109,8 +138,6 @@ def roc_auc(df: DataFrame, average: str = "macro") -> DataFrame:
 
     df has y and s, an array of scores a class.
     """
-    from pyspark.sql import Window
-
     rows = df.select("y", F.posexplode("s").alias("class", "score"))
     grouped = rows.groupBy("class", "score").agg(F.sum((F.col("y") == F.col("class")).cast("bigint")).alias("pos"), F.count("*").alias("n"))
     below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy("class").orderBy("score")) - (F.col("n") - F.col("pos"))
@@ -135,8 +162,8 @@ class Evaluator:
 
     def get_metrics(self, names: list[str], average: str = "macro", delta: float = 1.0) -> dict[str, Callable[[DataFrame], DataFrame]]:
         """KeyError for an unknown name."""
-        special = {"huber_loss": partial(huber, delta), "med_ae": partial(median_ae, self.median)}
-        tables = {"roc_auc": partial(roc_auc, average=average), "cross_entropy": cross_entropy, **{m: partial(averaged, metric=m, average=average) for m in ("precision", "recall", "f1")}}
+        special = {"huber_loss": partial(huber, delta)}
+        tables = {"roc_auc": partial(roc_auc, average=average), "cross_entropy": cross_entropy, "med_ae": partial(median_ae, kind=self.median), **{m: partial(averaged, metric=m, average=average) for m in ("precision", "recall", "f1")}}
         return {n: tables[n] if n in tables else partial(_one, n, special.get(n) or REGRESSION[n]) for n in names}
 
 

@@ -176,6 +176,47 @@ def test_median_variants(spark):
         metrics.Evaluator().get_metrics(["absent"])
 
 
+def most_read(spark, df):
+    """The rows of df, and the most bytes that one of its tasks read from a shuffle."""
+    sc = spark.sparkContext
+    sc.setJobGroup("most_read", "")
+    rows = df.collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    sc._jsc.clearJobGroup()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {k for j in tracker.getJobIdsForGroup("most_read") for k in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(k)}
+    tasks = [t.apply(i).taskMetrics().get() for k in stages for t in [store.taskList(k, 0, 1000)] for i in range(t.size())]
+    return rows, max(m.shuffleReadMetrics().localBytesRead() + m.shuffleReadMetrics().remoteBytesRead() for m in tasks)
+
+
+@pytest.mark.parametrize(("framework", "want"), [("pytorch", 149999.25)])
+def test_median_without_a_list_of_errors(spark, framework, want):
+    n = 300_000  # errors 0.25 to 299999.25, in no order
+    df = spark.range(0, n, numPartitions=8).select((F.lit(0.25) + F.col("id") * 7919 % n).alias("y"), F.lit(0.0).alias("p"))
+    rows, read = most_read(spark, metrics.Evaluator(framework).get_metrics(["med_ae"])["med_ae"](df))
+    assert rows[0][0] == want and 0 < read < 500_000
+
+
+ODD = {
+    "none": [], "missing": [None], "one": [3.5], "two": [-1.0, 2.0], "ties": [1.0] * 5 + [2.0] * 5 + [None], "zeros": [0.0, -0.0, 0.0], "endless": [1.0, float("inf"), float("-inf"), float("inf")],
+    "nan": [1.0, float("nan"), 2.0, float("nan"), 5.0], "extremes": [5e-324, 1e-323, 1.7e308, 2.2e-308, 1e-200, 1e200], "neighbours": [float(x) for x in (1 + np.arange(-40, 41) * 2.0**-52)],
+    "one far": [float(x) for x in np.arange(1000) * 1e-9] + [1e300], "wide": [float(x) for x in 10.0 ** np.random.default_rng(5).uniform(-300, 300, 501)],
+    "dense": [float(x) for x in np.random.default_rng(6).integers(0, 2**47, 400) * 2.0**-52 + 1], "whole": list(range(-7, 9)),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+@pytest.mark.parametrize("framework", ["pytorch"])
+def test_median_of_odd_errors(spark, framework, name):
+    df = spark.createDataFrame([(e, 0) if isinstance(e, int) else (e, 0.0) for e in ODD[name]], "y bigint, p bigint" if name == "whole" else "y double, p double")
+    got = metrics.Evaluator(framework).get_metrics(["med_ae"])["med_ae"](df)
+    errors = sorted((abs(float(e)) for e in ODD[name] if e is not None), key=lambda e: (np.isnan(e), e))
+    n = len(errors)
+    low, high = (errors[(n - 1) // 2], errors[n // 2]) if n else (None, None)
+    want = {"pytorch": low, "tensorflow": high, "sklearn": low if low == high else 0.5 * low + 0.5 * high}[framework]
+    assert got.columns == ["med_ae"] and [str(r[0]) for r in got.collect()] == [str(want)]
+
+
 def test_roc_auc_like_pairs(spark):
     rng = np.random.default_rng(2)
     y, s = rng.integers(0, 3, 60), np.round(rng.random((60, 3)), 1)
