@@ -82,8 +82,6 @@ def _middle_errors(df: DataFrame, sought: tuple[str, ...]) -> DataFrame:
 
 def median_ae(df: DataFrame, kind: str = "lower") -> DataFrame:
     """lower, middle or upper of the two middle errors."""
-    if kind == "upper":
-        return df.agg((-F.expr("percentile_disc(0.5) within group (order by -abs(y - p))")).alias("med_ae"))
     ends = F.min("lo"), F.max("lo")
     middle = F.when(ends[0] == ends[1], ends[0]).otherwise(0.5 * ends[0] + 0.5 * ends[1])
     return _middle_errors(df, ("lower", "upper") if kind == "middle" else (kind,)).agg(middle.alias("med_ae"))

@@ -189,7 +189,7 @@ def most_read(spark, df):
     return rows, max(m.shuffleReadMetrics().localBytesRead() + m.shuffleReadMetrics().remoteBytesRead() for m in tasks)
 
 
-@pytest.mark.parametrize(("framework", "want"), [("pytorch", 149999.25), ("sklearn", 149999.75)])
+@pytest.mark.parametrize(("framework", "want"), [("pytorch", 149999.25), ("sklearn", 149999.75), ("tensorflow", 150000.25)])
 def test_median_without_a_list_of_errors(spark, framework, want):
     n = 300_000  # errors 0.25 to 299999.25, in no order
     df = spark.range(0, n, numPartitions=8).select((F.lit(0.25) + F.col("id") * 7919 % n).alias("y"), F.lit(0.0).alias("p"))
@@ -206,7 +206,7 @@ ODD = {
 
 
 @pytest.mark.parametrize("name", ODD)
-@pytest.mark.parametrize("framework", ["pytorch", "sklearn"])
+@pytest.mark.parametrize("framework", ["pytorch", "sklearn", "tensorflow"])
 def test_median_of_odd_errors(spark, framework, name):
     df = spark.createDataFrame([(e, 0) if isinstance(e, int) else (e, 0.0) for e in ODD[name]], "y bigint, p bigint" if name == "whole" else "y double, p double")
     got = metrics.Evaluator(framework).get_metrics(["med_ae"])["med_ae"](df)
